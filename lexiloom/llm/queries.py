@@ -78,3 +78,32 @@ def p9_shares(spark, d):
     from .mixing import mixture
 
     return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query
+def p1_found(spark, d):
+    from .split_overlap import overlaps
+
+    o = overlaps(table(spark, d, "public_cases"))
+    return o.select(F.least("train_id", "eval_id").alias("case_a"), F.greatest("train_id", "eval_id").alias("case_b"))
+
+
+@query
+def p1_report(spark, d):
+    from .split_overlap import report
+
+    return report(table(spark, d, "public_cases"))
+
+
+@query
+def p3_found(spark, d):
+    from .markup import found
+
+    return found(table(spark, d, "papers"))
+
+
+@query
+def p3_clean_text(spark, d):
+    from .markup import cleaned
+
+    return cleaned(table(spark, d, "papers"))
