@@ -107,3 +107,17 @@ def p3_clean_text(spark, d):
     from .markup import cleaned
 
     return cleaned(table(spark, d, "papers"))
+
+
+@query
+def p10_found(spark, d):
+    from .abuse import found
+
+    return found(table(spark, d, "documents"), table(spark, d, "tox_labels"))
+
+
+@query
+def p10_rates(spark, d):
+    from .abuse import rates
+
+    return rates(table(spark, d, "documents"), table(spark, d, "tox_labels"))
