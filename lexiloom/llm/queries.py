@@ -121,3 +121,17 @@ def p10_rates(spark, d):
     from .abuse import rates
 
     return rates(table(spark, d, "documents"), table(spark, d, "tox_labels"))
+
+
+@query
+def p6_found(spark, d):
+    from .matching import matches
+
+    return matches(table(spark, d, "listings"), table(spark, d, "papers")).select("list_id", "rec_id")
+
+
+@query
+def p6_matches(spark, d):
+    from .matching import matches
+
+    return matches(table(spark, d, "listings"), table(spark, d, "papers"))
