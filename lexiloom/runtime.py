@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage by a compressed table in the shared folder; smaller than a checkpoint and read by column."""
+    where = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, least: int, most: int = 256) -> list:
     """Keys with at least `least` rows, the `most` heaviest at most, from a pre-aggregated (key, n) table.
 
