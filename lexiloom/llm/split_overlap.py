@@ -55,6 +55,8 @@ def slip(a: str, b: str) -> bool:
     if a.isdigit() or b.isdigit() or min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > 2:
         return False
     most = 1 if min(len(a), len(b)) < 6 else 2
+    if sum(c not in b for c in a) > most or sum(c not in a for c in b) > most:  # each such letter costs an edit
+        return False
     rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         row = [i]
