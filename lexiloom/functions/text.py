@@ -57,12 +57,12 @@ def tokenize(c: Column, drop_stop: bool = True) -> Column:
 
 
 TOKENS_SQL = (
-    "list_concat(list_filter(regexp_extract_all(lower(coalesce({0},'')), '[a-z0-9]+'), w -> length(w) > 1 and w not in (" + ",".join(f"'{w}'" for w in STOP) + ")), "
-    "(select case when len(c) <= 1 then c else list_transform(range(1, len(c)), i -> c[i] || c[i+1]) end from (select regexp_extract_all(coalesce({0},''), '[一-鿿]') as c)))"
+    "list_concat(list_filter(regexp_extract_all(lower(coalesce({0},'')), '[a-z0-9]+'), lambda w: length(w) > 1 and w not in (" + ",".join(f"'{w}'" for w in STOP) + ")), "
+    "(select case when len(c) <= 1 then c else list_transform(range(1, len(c)), lambda i: c[i] || c[i+1]) end from (select regexp_extract_all(coalesce({0},''), '[一-鿿]') as c)))"
 )
 ALL_TOKENS_SQL = (
     "list_concat(regexp_extract_all(lower(coalesce({0},'')), '[a-z0-9]+'), "
-    "(select case when len(c) <= 1 then c else list_transform(range(1, len(c)), i -> c[i] || c[i+1]) end from (select regexp_extract_all(coalesce({0},''), '[一-鿿]') as c)))"
+    "(select case when len(c) <= 1 then c else list_transform(range(1, len(c)), lambda i: c[i] || c[i+1]) end from (select regexp_extract_all(coalesce({0},''), '[一-鿿]') as c)))"
 )
 
 

@@ -48,11 +48,11 @@ def coupling(e: DataFrame, seeds: DataFrame) -> DataFrame:
     return _scaled(x.groupBy("qid", "pid").agg(F.max(F.col("n") / (F.col("ds") + F.col("dp") - F.col("n"))).alias("score")))
 
 
-def pagerank(e: DataFrame, seeds: DataFrame, alpha: float = 0.72, rounds: int = 24, each: int = 4) -> DataFrame:
+def pagerank(e: DataFrame, seeds: DataFrame, alpha: float = 0.72, rounds: int = 24, each: int = 1) -> DataFrame:
     """(qid, pid, score): personalised PageRank along out-edges, all qids at once; mass without out-edge goes back to the seeds.
 
-    A fixed number of rounds without an action in between; every `each` rounds the lineage is
-    cut in the shared folder. Scores of a round travel as (qid, pid) rows, so the state is only the nodes reached.
+    A fixed number of rounds; after every `each` of them the state, which the next round reads twice,
+    is cut in the shared folder. Scores of a round travel as (qid, pid) rows, so the state is only the nodes reached.
     """
     start = seeds.distinct().withColumn("s", 1 / F.count("*").over(Window.partitionBy("qid")))
     out = cut(e.join(e.groupBy("src").agg(F.count("*").alias("d")), "src"))

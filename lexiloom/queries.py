@@ -53,3 +53,474 @@ def p2_orphans_by_month(spark, d):
     from .operators.orphans import orphans_by_month
 
     return orphans_by_month(_orphans(spark, d))
+
+
+# --- The reference's operators -------------------------------------------------------------
+
+from .functions import text as tx  # noqa: E402
+from .operators import calibrate, coverage, entities, evaluate, gate, graph, lexical, ranks, views  # noqa: E402
+
+METRICS = ["accuracy", "coverage", "recall", "precision", "latency", "calibration", "f1"]
+WEIGHTS = {"lexical": 1.0, "dense": 1.2, "cite_bwd": 0.9, "cite_fwd": 0.9, "cocite": 1.1}
+C, H, E = lexical.CORPUS_SQL, ranks.HITS_SQL, graph.EDGES_SQL
+TOK, ALLTOK = tx.TOKENS_SQL, tx.ALL_TOKENS_SQL
+W_SQL = "case split_part(channel, ':', 1) " + " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS.items()) + " else 1.0 end"
+
+
+def _corpus(spark, d):
+    return lexical.corpus(table(spark, d, "papers"))
+
+
+def _hits(spark, d):
+    return ranks.hits(table(spark, d, "candidates"))
+
+
+def _gold(spark, d):
+    return table(spark, d, "harness_queries").select("qid", F.explode("gold").alias("pid")).distinct()
+
+
+def _rounded(df, *cols):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query(f"""with {C}, q as (select qid, unnest({TOK.format("query")}) as term from harness_queries), qt as (select qid, term, count(*) as qf from q group by 1, 2),
+fields as (select pid, 3.0 as w, {TOK.format("title")} as t from corpus union all select pid, 1.0, {TOK.format("abstract")} from corpus),
+dl as (select pid, sum(len(t) * w) as dl from fields group by 1), st as (select count(*) as n, avg(dl) as avgdl from dl),
+tf as (select pid, term, sum(w) as tf from (select pid, w, unnest(t) as term from fields) group by 1, 2),
+df as (select term, count(*) as df from tf where term in (select term from qt) group by 1),
+s as (select qid, tf.pid, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score
+  from tf join df using (term) join qt using (term) join dl on dl.pid = tf.pid, st group by 1, 2)
+select qid, pid, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, pid) as rank from s) where rank <= 20""")
+def bm25_search(spark, d):
+    r = lexical.bm25_search(_corpus(spark, d), "pid", {"title": 3.0, "abstract": 1.0}, table(spark, d, "harness_queries"), 20)
+    return _rounded(r.select("qid", "pid", "score", "rank"), "score")
+
+
+@query(f"with {H} select qid, pid, round(sum(1.0 / (60 + rank)), 6) as score from h group by 1, 2")
+def rrf_fusion(spark, d):
+    return _rounded(ranks.rrf(_hits(spark, d)), "score")
+
+
+@query(f"""with {H}, s as (select qid, pid, sum({W_SQL} / (60 + rank)) as score from h group by 1, 2)
+select qid, pid, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, pid) as rank from s) where rank <= 50""")
+def rrf_weighted_top(spark, d):
+    return _rounded(ranks.top(ranks.rrf(_hits(spark, d), weights=WEIGHTS), 50), "score")
+
+
+@query("""with l as (select qid, ch as channel, cand_id % 3 as query_index, r as rank, pid from (select cand_id, qid, pid, unnest(map_keys(channel_ranks)) as ch, unnest(map_values(channel_ranks)) as r from candidates)),
+f as (select qid, channel, pid, min((query_index, rank)) as f from l group by 1, 2, 3)
+select qid, channel, pid, row_number() over (partition by qid, channel order by f, pid) as pos, f[2] as first_rank from (select qid, channel, pid, f from f)""")
+def rank_list_assembly(spark, d):
+    c = table(spark, d, "candidates")
+    lists = c.select("qid", F.explode("channel_ranks").alias("channel", "rank"), (F.col("cand_id") % 3).alias("query_index"), "pid")
+    return ranks.assemble(lists)
+
+
+@query(f"""with {C}, p as (select c.qid, c.pid, q.query, k.title, k.abstract from (select distinct qid, pid from candidates) c join corpus k using (pid) join harness_queries q using (qid)),
+t as (select qid, pid, list_distinct({TOK.format("query")}) as q, {TOK.format("title")} as tt, {TOK.format("abstract")} as ta from p),
+st as (select qid, count(*) as n, greatest(avg(len(ta) + 1), 1.0) as avgdl from t group by 1),
+x as (select qid, pid, len(tt) + len(ta) as dl, len(q) as nq, unnest(q) as term, tt, ta from t),
+hit as (select * from (select qid, pid, dl, nq, term, 2.2 * len(list_filter(tt, lambda w: w = term)) + len(list_filter(ta, lambda w: w = term)) as f from x) where f > 0),
+df as (select qid, term, count(*) as df from hit group by 1, 2),
+raw as (select qid, pid, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.3 + 0.7 * dl / avgdl))) * (0.35 + 0.65 * count(*) / max(nq)) as raw
+  from hit join df using (qid, term) join st using (qid) group by 1, 2),
+u as (select t.qid, t.pid, coalesce(raw, 0.0) as raw from t left join raw on t.qid = raw.qid and t.pid = raw.pid),
+m as (select qid, pid, raw, min(raw) over (partition by qid) as lo, max(raw) over (partition by qid) as hi from u)
+select qid, pid, round(case when hi - lo > 1e-9 then (raw - lo) / (hi - lo) else raw end, 6) as score from m""")
+def lexical_rerank(spark, d):
+    pool = table(spark, d, "candidates").select("qid", "pid").distinct().join(_corpus(spark, d).select("pid", "title", "abstract"), "pid").join(table(spark, d, "harness_queries").select("qid", "query"), "qid")
+    return _rounded(lexical.lexical_rerank(pool), "score")
+
+
+@query(f"""with {C} select pid, year, venue from corpus where length(title) >= 8 and (year is null or year >= 2015) and (year is null or year <= 2023)
+and (coalesce(venue, '') = '' or contains(upper(venue), 'RETRIEVAL') or contains(upper(venue), 'ARXIV'))
+and not (contains(lower(coalesce(doc_type, '')), 'review') or contains(lower(coalesce(doc_type, '')), 'survey') or starts_with(lower(title), 'a survey') or contains(lower(title), ': a survey') or contains(lower(title), 'a review of'))""")
+def l0_filter(spark, d):
+    return ranks.l0_filter(_corpus(spark, d), 2015, 2023, ["Retrieval", "arXiv"], no_reviews=True).select("pid", "year", "venue")
+
+
+def _cover(term):
+    toks = [w for w in term.split() if w not in tx.STOP]
+    return "(" + " + ".join(f"(list_contains(tokens, '{w}'))::int" for w in toks) + f") / {float(len(toks))}"
+
+
+@query(f"""with {C}, t as (select pid, list_concat(list_concat({TOK.format("title")}, {TOK.format("abstract")}), {TOK.format("venue")}) as tokens from corpus),
+g as (select pid, greatest({_cover("citation recommendation")}, {_cover("scholarly search")}) as a, greatest({_cover("graph networks")}, {_cover("dense retrieval")}) as b, {_cover("hospital wards")} as n from t),
+m as (select pid, (1.0 * a + 0.5 * b) / 1.5 as positive, least(case when n >= 0.8 then n else 0.0 end, 1.0) as penalty from g)
+select pid, round(positive, 6) as positive, round(penalty, 6) as penalty, round(positive * (1 - penalty), 6) as score from m""")
+def constraint_match(spark, d):
+    groups = [{"terms": ["citation recommendation", "scholarly search"], "weight": 1.0}, {"terms": ["graph networks", "dense retrieval"], "weight": 0.5}, {"terms": ["hospital wards"], "weight": 1.0, "negative": True}]
+    return _rounded(ranks.constraint_match(_corpus(spark, d), groups), "positive", "penalty", "score")
+
+
+@query(f"""with {C}, p as (select distinct c.qid, c.pid from candidates c), t as (select qid, pid, list_distinct({TOK.format("query")}) as e, list_concat({TOK.format("title")}, {TOK.format("abstract")}) as doc
+from p join harness_queries using (qid) join corpus using (pid)) select qid, pid from t where len(e) > 0 and len(list_intersect(e, doc)) >= 0.6 * len(e)""")
+def evidence_check(spark, d):
+    x = table(spark, d, "candidates").select("qid", "pid").distinct().join(table(spark, d, "harness_queries").select("qid", "query"), "qid").join(_corpus(spark, d).select("pid", "title", "abstract"), "pid")
+    return x.where(ranks.evidence_holds(F.col("query"), F.col("title"), F.col("abstract"))).select("qid", "pid")
+
+
+def _sim_sql(a, b):
+    big = lambda t: f"list_distinct(list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i+1]))"
+    jac = lambda x, y: f"case when len({x}) > 0 and len({y}) > 0 then len(list_intersect({x}, {y})) / (len(list_distinct({x})) + len(list_distinct({y})) - len(list_intersect({x}, {y})))::double else 0.0 end"
+    return f"(0.5 * ({jac(a, b)}) + 0.5 * ({jac(big(a), big(b))}))"
+
+
+L1_SQL = f"""with {C}, {H}, r as (select qid, pid, sum(1.0 / (60 + rank)) as rrf, min(rank) as best_rank, count(distinct split_part(channel, ':', 1)) as families from h group by 1, 2),
+t as (select r.*, list_distinct({TOK.format("query")}) as q, list_concat({TOK.format("title")}, {TOK.format("abstract")}) as doc, {ALLTOK.format("query")} as qa, {ALLTOK.format("title")} as ta from r join corpus using (pid) join harness_queries using (qid)),
+l1 as (select qid, pid, 0.29 * (1 - exp(-40 * rrf)) + 0.16 * (case when len(q) > 0 then len(list_intersect(q, doc)) / len(q)::double else 0.0 end) + 0.12 * (1 - exp(-0.8 * families))
+  + 0.08 / (1 + 0.08 * best_rank) + 0.11 * {_sim_sql("qa", "ta")} + 0.05 as s_l1 from t)"""
+
+
+def _l1_rows(spark, d):
+    h = _hits(spark, d)
+    r = h.groupBy("qid", "pid").agg(F.sum(1 / (60 + F.col("rank"))).alias("rrf"), F.min("rank").alias("best_rank"), F.countDistinct(F.split("channel", ":")[0]).alias("families"))
+    x = r.join(_corpus(spark, d).select("pid", "title", "abstract"), "pid").join(table(spark, d, "harness_queries").select("qid", "query"), "qid")
+    x = x.withColumns({"graph": F.lit(0.0), "constraint": F.lit(1.0)})
+    return x.select("qid", "pid", ranks.l1_score(x).alias("s_l1"))
+
+
+@query(L1_SQL + "select qid, pid, round(s_l1, 6) as s_l1 from l1")
+def l1_score(spark, d):
+    return _rounded(_l1_rows(spark, d), "s_l1")
+
+
+@query(L1_SQL + """, n as (select qid, pid, count(distinct channel) as n from h group by 1, 2), b as (select l1.*, n from l1 join n using (qid, pid)),
+u as (select qid, pid from (select b.qid, b.pid, row_number() over (partition by b.qid order by h.rank, round(s_l1, 9) desc, b.pid) as rn from b join h on h.qid = b.qid and h.pid = b.pid and h.channel = 'cocite' where n = 1) where rn <= 3),
+c1 as (select qid, pid from (select b.qid, b.pid, row_number() over (partition by b.qid order by round(s_l1, 9) desc, b.pid) as rn from b join h on h.qid = b.qid and h.pid = b.pid and h.channel = 'dense:views' where (b.qid, b.pid) not in (select qid, pid from u)) where rn <= 10),
+k as (select b.*, row_number() over (partition by b.qid order by ((b.qid, b.pid) in (select qid, pid from u union select qid, pid from c1))::int desc, round(s_l1, 9) desc, b.pid) as rn from b)
+select qid, pid, round(s_l1, 6) as s_l1, row_number() over (partition by qid order by round(s_l1, 9) desc, pid) as rank from k where rn <= 30""")
+def channel_quota(spark, d):
+    return _rounded(ranks.quota_cut(_l1_rows(spark, d), _hits(spark, d), 30, {"dense:views": 10}, {"cocite": 3}), "s_l1")
+
+
+@query(f"""with s as (select qid, pid, max(case when isnan(retrieval_score) then null else retrieval_score end) as s2, max(citation_count) as c from candidates group by 1, 2), x as (select qid, pid, coalesce(s2, 0.0) as s_l2, ln(1.0 + greatest(coalesce(c, 0), 0)) as s_l1 from s),
+m as (select *, min(s_l1) over w as lo1, max(s_l1) over w as hi1, min(s_l2) over w as lo2, max(s_l2) over w as hi2 from x window w as (partition by qid)),
+z as (select qid, pid, 0.75 * (case when hi2 - lo2 > 1e-12 then (s_l2 - lo2) / (hi2 - lo2) else 0.5 end) + 0.25 * (case when hi1 - lo1 > 1e-12 then (s_l1 - lo1) / (hi1 - lo1) else 0.5 end) as score from m)
+select qid, pid, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, pid) as rank from z) where rank <= 80""")
+def l2_blend(spark, d):
+    return _rounded(ranks.l2_blend(_levels(spark, d), 80, 0.25).select("qid", "pid", "score", "rank"), "score")
+
+
+def _levels(spark, d):
+    c = table(spark, d, "candidates").groupBy("qid", "pid").agg(F.max(F.when(~F.isnan("retrieval_score"), F.col("retrieval_score"))).alias("s2"), F.max("citation_count").alias("c"))
+    return c.select("qid", "pid", F.coalesce("s2", F.lit(0.0)).alias("s_l2"), F.log1p(F.greatest(F.coalesce("c", F.lit(0)), F.lit(0)).cast("double")).alias("s_l1"))
+
+
+@query("""with s as (select qid, pid, coalesce(max(case when isnan(retrieval_score) then null else retrieval_score end), 0.0) as a, ln(1.0 + greatest(coalesce(max(citation_count), 0), 0)) as b from candidates group by 1, 2),
+r as (select qid, rank() over (partition by qid order by a) + (count(*) over (partition by qid, a) - 1) / 2.0 as ra, rank() over (partition by qid order by b) + (count(*) over (partition by qid, b) - 1) / 2.0 as rb from s)
+select qid, round(case when count(*) < 3 then 0.0 else coalesce(corr(ra, rb), 0.0) end, 6) as rho from r group by 1""")
+def spearman(spark, d):
+    return _rounded(ranks.spearman(_levels(spark, d), "s_l2", "s_l1"), "rho")
+
+
+@query()
+def adaptive_fusion(spark, d):
+    x = _levels(spark, d).join(ranks.rrf(_hits(spark, d)).withColumnRenamed("score", "rrf"), ["qid", "pid"], "left")
+    return _rounded(ranks.fuse_signals(x.select("qid", "pid", F.col("s_l1").alias("l1"), F.col("s_l2").alias("l2"), "rrf"), ["l1", "l2", "rrf"]), "fused")
+
+
+IDENT_SQL = """k as (select *, case when trim(coalesce(doi, '')) <> '' then 'doi:' || lower(trim(doi)) when trim(coalesce(arxiv_id, '')) <> '' then 'arxiv:' || lower(split_part(trim(arxiv_id), 'v', 1))
+  else 'title:' || substr(md5(regexp_replace(lower(coalesce(title, '')), '[^\\p{L}\\p{N}]', '', 'g')), 1, 16) end as ident from papers)"""
+
+
+@query("with " + IDENT_SQL + " select ident, count(*) as copies, min(rec_id) as rec_id from k group by 1")
+def exact_dedup(spark, d):
+    return entities.merge_exact(table(spark, d, "papers")).select("ident", "copies", "rec_id")
+
+
+@query("with " + IDENT_SQL + """ select ident, arg_max(length(coalesce(abstract, '')), (length(coalesce(abstract, '')), -rec_id)) as abstract_length, min_by(year, rec_id) filter (year is not null) as year,
+ min_by(venue, rec_id) filter (trim(coalesce(venue, '')) <> '') as venue, max(citation_count) as citation_count, string_agg(distinct source, '+' order by source) as source, max(len(authors)) as n_authors from k group by 1""")
+def record_merge(spark, d):
+    m = entities.merge_exact(table(spark, d, "papers"))
+    return m.select("ident", F.length(F.coalesce("abstract", F.lit(""))).alias("abstract_length"), "year", "venue", "citation_count", "source", F.when(F.size("authors") >= 0, F.size("authors")).alias("n_authors"))
+
+
+@query(f"""with t as (select rec_id as id, title, {ALLTOK.format("title")} as w from papers), o as (select id, w, w[1] as block from (select min(id) as id, any_value(w) as w from t where len(w) > 0 group by title)),
+p as (select a.id as a, b.id as b, a.w as wa, b.w as wb from o a join o b on a.block = b.block and a.id < b.id), s as (select a, b, {_sim_sql("wa", "wb")} as sim from p)
+select a, b, round(sim, 6) as sim from s where sim >= 0.86""")
+def fuzzy_pairs(spark, d):
+    return _rounded(entities.fuzzy_pairs(table(spark, d, "papers")), "sim")
+
+
+@query()
+def fuzzy_leaders(spark, d):
+    p = table(spark, d, "papers")
+    return entities.leaders(entities.fuzzy_pairs(p), p.select(F.col("rec_id").alias("id")))
+
+
+@query("""with q as (select cast(vec_id as varchar) as qid, embedding as e from embeddings where vec_id % 20 = 0), s as (select qid, v.vec_id, list_cosine_similarity(cast(q.e as double[]), cast(v.embedding as double[])) as score from q, embeddings v)
+select qid, vec_id, round(score, 5) as score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, vec_id) as rank from s) where rank <= 10""")
+def dense_topk(spark, d):
+    e = table(spark, d, "embeddings")
+    # the stated query set: every row whose id is divisible by 20, against all rows
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), "embedding")
+    return entities.dense_top(e, q, 10).withColumn("score", F.round("score", 5))
+
+
+@query(f"""with {C}, t as (select pid, {TOK.format("title")} as t from corpus), x as (select pid, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1]))) as term from t),
+tf as (select pid, term, count(*) as c from x group by 1, 2), df as (select term, count(*) as df from tf group by 1), n as (select count(*) as n from corpus),
+b as (select pid, ('0x' || substr(md5(term), 1, 8))::bigint % 256 as bucket, sum((1 + ln(c)) * ln(1 + n / (1.0 + df))) as w from tf join df using (term), n group by 1, 2),
+m as (select pid, sqrt(sum(w * w)) as norm from b group by 1) select b.pid, bucket, round(w / norm, 6) as w from b join m using (pid) where norm > 0""")
+def hashing_tfidf(spark, d):
+    return _rounded(entities.hashing_vectors(_corpus(spark, d), "pid", "title"), "w")
+
+
+@query(f"with {E} select src, dst from edges")
+def citation_edges(spark, d):
+    return graph.edges(table(spark, d, "papers"))
+
+
+COCITE_SQL = f"""with {E}, seeds as (select distinct qid, unnest(gold) as seed from harness_queries), ind as (select dst, count(*) as d from edges group by 1),
+p as (select s.qid, s.seed, e2.dst as pid, count(*) as n from seeds s join edges e1 on e1.dst = s.seed join edges e2 on e2.src = e1.src where e2.dst <> s.seed group by 1, 2, 3),
+s as (select qid, pid, sum(n / sqrt(i1.d * i2.d)) as score from p join ind i1 on i1.dst = seed join ind i2 on i2.dst = pid group by 1, 2)"""
+
+
+@query(COCITE_SQL + " select qid, pid, round(score / max(score) over (partition by qid), 6) as score from s")
+def cocitation(spark, d):
+    return _rounded(graph.cocitation(graph.edges(table(spark, d, "papers")), _gold(spark, d)), "score")
+
+
+@query(f"""with {E}, seeds as (select distinct qid, unnest(gold) as seed from harness_queries), o as (select src, count(*) as d from edges group by 1),
+p as (select s.qid, s.seed, e2.src as pid, count(*) as n from seeds s join edges e1 on e1.src = s.seed join edges e2 on e2.dst = e1.dst where e2.src <> s.seed group by 1, 2, 3),
+s as (select qid, pid, max(n / (o1.d + o2.d - n)::double) as score from p join o o1 on o1.src = seed join o o2 on o2.src = pid group by 1, 2)
+select qid, pid, round(score / max(score) over (partition by qid), 6) as score from s""")
+def coupling(spark, d):
+    return _rounded(graph.coupling(graph.edges(table(spark, d, "papers")), _gold(spark, d)), "score")
+
+
+PPR_SQL = f"""with {E}, o as (select src, count(*) as d from edges group by 1), s0 as (select qid, pid, 1.0 / count(*) over (partition by qid) as s from (select distinct qid, unnest(gold) as pid from harness_queries)), """ + ", ".join(
+    f"""m{i} as (select p.qid, e.dst as pid, sum(p.{"s" if i == 1 else "score"} / o.d) as m from {"s0" if i == 1 else f"r{i - 1}"} p join edges e on e.src = p.pid join o on o.src = p.pid group by 1, 2),
+k{i} as (select qid, sum(m) as kept from m{i} group by 1),
+r{i} as (select qid, pid, sum(m) as score from (select qid, pid, 0.72 * m as m from m{i} union all select s0.qid, s0.pid, s0.s * (1 - 0.72 * coalesce(kept, 0)) from s0 left join k{i} on k{i}.qid = s0.qid) group by 1, 2)"""
+    for i in range(1, 5)
+)
+
+
+@query(PPR_SQL + " select qid, pid, round(score, 6) as score from r4")
+def pagerank_4_rounds(spark, d):
+    return _rounded(graph.pagerank(graph.edges(table(spark, d, "papers")), _gold(spark, d), rounds=4), "score")
+
+
+@query()
+def graph_prior(spark, d):
+    return _rounded(graph.graph_prior(graph.edges(table(spark, d, "papers")), _gold(spark, d), rounds=8), "score")
+
+
+@query(f"""with {E}, s as (select qid, pid as seed from (select *, row_number() over (partition by qid order by pid) as n from (select distinct qid, unnest(gold) as pid from harness_queries)) where n <= 6),
+x as (select qid, 'cite_bwd' as channel, seed, dst as pid from s join edges on src = seed union all select qid, 'cite_fwd', seed, src from s join edges on dst = seed)
+select * from (select *, row_number() over (partition by qid, channel, seed order by pid) as rank from x) where rank <= 40""")
+def citation_expand(spark, d):
+    return graph.expand(graph.edges(table(spark, d, "papers")), _gold(spark, d))
+
+
+@query(f"with {E}, n as (select distinct unnest(gold) as pid from harness_queries) select src, dst from edges where src in (select pid from n) and dst in (select pid from n)")
+def induced_subgraph(spark, d):
+    return graph.induced(graph.edges(table(spark, d, "papers")), _gold(spark, d))
+
+
+@query(f"with {E} select pid, count(*) as degree from (select src as pid from edges union all select dst from edges) group by 1")
+def relation_degree(spark, d):
+    return graph.degrees(graph.edges(table(spark, d, "papers")))
+
+
+CAP_SQL = f"with {H}, c as (select qid, pid, count(*) as c from h group by 1, 2), k as (select qid, count(*)::double as d, sum((c = 1)::int)::double as f1, sum((c = 2)::int)::double as f2 from c group by 1)"
+
+
+@query(CAP_SQL + " select qid, d, f1, f2, round(d + least(f1 * greatest(f1 - 1, 0) / (2 * (f2 + 1)), 4 * d), 6) as n_hat from k")
+def chao1(spark, d):
+    return _rounded(coverage.chao1(coverage.capture_counts(_hits(spark, d))), "n_hat").select("qid", "d", "f1", "f2", "n_hat")
+
+
+@query(f"""with {H}, s as (select qid, channel, count(*) as n from h group by 1, 2), p as (select a.qid, a.channel as ca, b.channel as cb, a.n as na, b.n as nb from s a join s b on a.qid = b.qid and a.channel < b.channel),
+i as (select a.qid, a.channel as ca, b.channel as cb, count(*) as i from h a join h b on a.qid = b.qid and a.pid = b.pid and a.channel < b.channel group by 1, 2, 3)
+select p.qid, round(avg(coalesce(i, 0) / (na + nb - coalesce(i, 0))::double), 6) as correlation from p left join i on p.qid = i.qid and p.ca = i.ca and p.cb = i.cb group by 1""")
+def channel_jaccard(spark, d):
+    return _rounded(coverage.channel_jaccard(_hits(spark, d)), "correlation")
+
+
+def _prior(spark, d):
+    return table(spark, d, "harness_queries").select("qid", F.lit(12.0).alias("prior"))
+
+
+@query()
+def coverage_interval(spark, d):
+    h = _hits(spark, d)
+    return _rounded(coverage.estimate(coverage.capture_counts(h), coverage.channel_jaccard(h), _prior(spark, d)), "n_hat", "low", "high", "sd")
+
+
+@query(f"""with {H}, f as (select qid, pid, count(distinct split_part(channel, ':', 1)) as f from h group by 1, 2), c as (select qid, sum((f >= 2)::int)::bigint as multi, count(*) as pool from f group by 1)
+select qid, multi, pool, round(case when multi = 0 or multi > 0.6 * pool then 12.0 else exp((ln(multi) + ln(12.0)) / 2) end, 6) as mass from c where qid in (select qid from harness_queries)""")
+def mass_anchor(spark, d):
+    return _rounded(coverage.mass_anchor(_hits(spark, d), _prior(spark, d)), "mass")
+
+
+@query(f"""with {H}, c as (select qid, pid, count(*) as c, min(channel) as channel from h group by 1, 2), l as (select qid, channel, count(*) as lone from c where c = 1 group by 1, 2)
+select a.qid, a.channel, coalesce(lone, 0) as lone from (select distinct qid, channel from h) a left join l on a.qid = l.qid and a.channel = l.channel""")
+def weakest_channel(spark, d):
+    return coverage.weakest_channel(_hits(spark, d))
+
+
+P_SQL = f"""with {H}, r as (select qid, pid, sum({W_SQL} / (60 + rank)) as score from h group by 1, 2),
+p as (select qid, pid, 0.95 / (1 + pow((row_number() over (partition by qid order by round(score, 9) desc, pid) - 1) / 12.0, 1.6)) as p from r),
+c0 as (select *, row_number() over w as k, sum(p) over (partition by qid order by round(p, 9) desc, pid rows unbounded preceding) as mass, greatest(12.0, sum(p) over (partition by qid)) as n from p window w as (partition by qid order by round(p, 9) desc, pid)),
+c as (select *, 2 * mass / (k + n) as f1 from c0), b as (select qid, k as k_star, f1 as best_f1 from (select *, row_number() over (partition by qid order by round(f1, 12) desc, k) as rn from c) where rn = 1),
+g as (select b.qid, k_star as k, best_f1, best_f1 / 2 as threshold, greatest(least(sum((c.k <= k_star and c.p > best_f1 / 2 * 1.25)::int), k_star), 1)::bigint as core_k from c join b on b.qid = c.qid group by 1, 2, 3)"""
+
+
+def _curve(spark, d):
+    p = calibrate.rank_decay_rows(ranks.rrf(_hits(spark, d), weights=WEIGHTS), 12.0).select("qid", "pid", "p")
+    return gate.f1_curve(p, _hits(spark, d).select("qid").distinct().withColumn("n_hat", F.lit(12.0)))
+
+
+@query(P_SQL + " select qid, pid, k, round(p, 6) as p, round(f1, 6) as f1 from c")
+def f1_curve(spark, d):
+    return _rounded(_curve(spark, d).select("qid", "pid", "k", "p", "f1"), "p", "f1")
+
+
+@query(P_SQL + " select qid, k, round(best_f1, 6) as best_f1, round(threshold, 6) as threshold, core_k from g")
+def f1_gate(spark, d):
+    return _rounded(gate.cutoff(_curve(spark, d), 1.25), "best_f1", "threshold")
+
+
+@query(P_SQL + " select c.qid, pid, c.k, case when c.k <= core_k then 'core' when c.k <= g.k then 'partial' else 'excluded' end as tier from c join g on c.qid = g.qid")
+def result_tiers(spark, d):
+    c = _curve(spark, d)
+    return gate.tiers(c, gate.cutoff(c, 1.25))
+
+
+@query(P_SQL + " , x as (select *, lead(p) over (partition by qid order by k) as nxt from c) select x.qid, (x.p >= threshold - 1e-9 and coalesce(nxt, 0.0) <= threshold + 1e-9) as holds from x join g on g.qid = x.qid and g.k = x.k")
+def f1_fixed_point(spark, d):
+    c = _curve(spark, d)
+    return gate.fixed_point(c, gate.cutoff(c, 1.25))
+
+
+@query()
+def f1_gate_draws(spark, d):
+    h = _hits(spark, d)
+    est = coverage.estimate(coverage.capture_counts(h), coverage.channel_jaccard(h), _prior(spark, d))
+    c = gate.f1_curve_draws(_curve(spark, d).select("qid", "pid", "p"), coverage.draws(est, 100))
+    return _rounded(gate.cutoff(c, 1.25), "best_f1", "threshold")
+
+
+@query()
+def rank_decay_calibration(spark, d):
+    s = ranks.rrf(_hits(spark, d), weights=WEIGHTS)
+    return _rounded(calibrate.calibrate(s, coverage.mass_anchor(_hits(spark, d), _prior(spark, d))), "p")
+
+
+@query()
+def mixture_calibration(spark, d):
+    s = _levels(spark, d).select("qid", "pid", F.greatest(F.least("s_l2", F.lit(1.0)), F.lit(0.0)).alias("score"))
+    return _rounded(calibrate.calibrate(s, coverage.mass_anchor(_hits(spark, d), _prior(spark, d)), "mixture+temper"), "p")
+
+
+GOLD_SQL = "gold as (select distinct qid, unnest(gold) as pid from harness_queries)"
+PRF_SQL = P_SQL + f""", {GOLD_SQL}, pr as (select c.qid, pid from c join g on g.qid = c.qid where c.k <= g.k), np as (select qid, count(*) as n_pred from pr group by 1), ng as (select qid, count(*) as n_gold from gold group by 1),
+tp as (select qid, count(*) as tp from pr join gold using (qid, pid) group by 1), m as (select ng.qid, coalesce(tp, 0) as tp, coalesce(n_pred, 0) as n_pred, n_gold from ng left join np using (qid) left join tp using (qid)),
+f as (select *, case when n_pred > 0 then tp / n_pred::double else 0.0 end as precision, tp / n_gold::double as recall, 2.0 * tp / (n_pred + n_gold) as f1 from m)"""
+
+
+def _prf(spark, d):
+    c = _curve(spark, d)
+    kept = c.join(gate.cutoff(c, 1.25).select("qid", F.col("k").alias("k_star")), "qid").where("k <= k_star").select("qid", "pid")
+    return evaluate.set_prf(kept, _gold(spark, d))
+
+
+@query(PRF_SQL + " select qid, tp, n_pred, n_gold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from f")
+def set_prf(spark, d):
+    return _rounded(_prf(spark, d), "precision", "recall", "f1")
+
+
+@query(PRF_SQL + """ select coalesce(query_type_hint, 'none') as query_type, count(*) as queries, round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f1), 6) as macro_f1,
+round(2.0 * sum(tp) / (sum(n_pred) + sum(n_gold)), 6) as micro_f1 from f join harness_queries using (qid) group by 1""")
+def metrics_by_type(spark, d):
+    x = _prf(spark, d).join(table(spark, d, "harness_queries").select("qid", F.coalesce("query_type_hint", F.lit("none")).alias("query_type")), "qid")
+    return _rounded(evaluate.summary(x, "query_type"), "macro_precision", "macro_recall", "macro_f1", "micro_f1")
+
+
+@query(P_SQL + f""", {GOLD_SQL}, n as (select qid, count(*) as n from gold group by 1), x as (select c.qid, sum((k <= 20)::int) as h20, sum((k <= 50)::int) as h50 from c join gold using (qid, pid) group by 1)
+select n.qid, round(coalesce(h20, 0) / n::double, 6) as recall_at_20, round(coalesce(h50, 0) / n::double, 6) as recall_at_50 from n left join x using (qid)""")
+def recall_at_k(spark, d):
+    return _rounded(evaluate.recall_at(_curve(spark, d).select("qid", "pid", F.col("k").alias("rank")), _gold(spark, d)), "recall_at_20", "recall_at_50")
+
+
+@query(P_SQL + f""", {GOLD_SQL}, y as (select c.p, (gold.pid is not null)::int as y from c left join gold on gold.qid = c.qid and gold.pid = c.pid), bb as (select least(floor(p * 10), 9) as bin, count(*) as n, avg(p) as mp, avg(y) as rate from y group by 1)
+select round(sum(n * abs(mp - rate)) / sum(n), 6) as ece, (select round(avg((p - y) * (p - y)), 6) from y) as brier, sum(n)::bigint as n from bb""")
+def calibration_error(spark, d):
+    y = _curve(spark, d).join(_gold(spark, d).withColumn("y", F.lit(1)), ["qid", "pid"], "left").select("p", F.coalesce("y", F.lit(0)).alias("y"))
+    return _rounded(evaluate.calibration_error(y), "ece", "brier")
+
+
+@query(P_SQL + f""", {GOLD_SQL}, gs as (select qid, count(*) as g from gold group by 1), x as (select c.qid, c.pid, c.k, g, sum((gold.pid is not null)::int) over (partition by c.qid order by c.k) as tp from c join gs on gs.qid = c.qid left join gold on gold.qid = c.qid and gold.pid = c.pid where c.k <= 120),
+bb as (select qid, k as best from (select *, row_number() over (partition by qid order by round(2.0 * tp / (k + g), 12) desc, k) as rn from x) where rn = 1) select x.qid, x.pid from x join bb using (qid) where k <= best""")
+def oracle_selector(spark, d):
+    return gate.select_oracle(_curve(spark, d).select("qid", "pid", "k"), _gold(spark, d))
+
+
+@query(f"""with {C} select pid, round(greatest(least((0.35 + 0.65 * (0.65 * c / (1.5 + c) + 0.35 * least(age / 3.0, 1.0))) * case when rv then 0.9 else 1.0 end, 1.0), 0.35), 6) as propensity from
+(select pid, ln(1.0 + greatest(coalesce(citation_count, 0), 0)) as c, greatest(0, 2026 - coalesce(year, 2026)) as age,
+ contains(lower(coalesce(doc_type, '')), 'review') or contains(lower(coalesce(doc_type, '')), 'survey') or starts_with(lower(coalesce(title, '')), 'a survey') or contains(lower(coalesce(title, '')), ': a survey') or contains(lower(coalesce(title, '')), 'a review of') as rv from corpus)""")
+def propensity(spark, d):
+    c = _corpus(spark, d)
+    return _rounded(c.select("pid", calibrate.propensity(F.col("citation_count"), F.col("year"), tx.is_review(F.col("doc_type"), F.col("title"))).alias("propensity")), "propensity")
+
+
+@query(f"with {C} select count(*) as papers, min(year) as year_min, max(year) as year_max, median(citation_count) as median_citations from corpus")
+def corpus_stats(spark, d):
+    return views.corpus_stats(_corpus(spark, d))
+
+
+@query(f"with {C}, v as (select venue as value, count(*) as n from corpus where trim(coalesce(venue, '')) <> '' group by 1) select value, n, row_number() over (order by n desc, value) as place from v order by n desc, value limit 8")
+def top_venues(spark, d):
+    return views.top_values(_corpus(spark, d), "venue")
+
+
+@query(f"""with {C} select year, pid, place, papers from (select year, pid, row_number() over (partition by year order by coalesce(citation_count, 0) desc, pid) as place, count(*) over (partition by year) as papers from corpus where year is not null) where place <= 4""")
+def year_timeline(spark, d):
+    return views.timeline(_corpus(spark, d)).select("year", "pid", "place", "papers")
+
+
+@query(f"""with {C}, r as (select q.qid, c.pid, c.title from (select distinct qid, unnest(gold) as pid from harness_queries) q join corpus c using (pid)), n as (select qid, count(*) as n from r group by 1), t as (select qid, pid, {TOK.format("title")} as t from r),
+x as (select qid, pid, unnest(list_distinct(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i+1])))) as term from t), s as (select qid, term, count(distinct pid) as size from x group by 1, 2)
+select qid, term, size, round(size * (1 - size / n::double) * (1 + 0.5 * contains(term, ' ')::int), 6) as score from s join n using (qid) where size >= 2 and size <= 0.7 * n""")
+def facet_terms(spark, d):
+    return _rounded(views.facet_terms(_gold(spark, d).join(_corpus(spark, d).select("pid", "title"), "pid")), "score")
+
+
+@query()
+def facets(spark, d):
+    return views.facets(_gold(spark, d).join(_corpus(spark, d).select("pid", "title"), "pid"))
+
+
+@query("select qid, min(cast(y as int)) as year_min, any_value(kind) as kind from (select qid, unnest(case when len(ys) = 0 then [null] else ys end) as y, kind from (select qid, regexp_extract_all(query, '\\b((19|20)[0-9][0-9])\\b', 1) as ys, "
+    + "case " + " ".join("when " + " or ".join(f"contains(lower(query), '{c}')" for c in cues) + f" then '{k}'" for k, cues in tx.TYPE_CUES.items()) + " else 'method_cross' end as kind from harness_queries)) group by 1")
+def query_understanding(spark, d):
+    return table(spark, d, "harness_queries").select("qid", tx.query_year(F.col("query")).alias("year_min"), tx.query_type(F.col("query")).alias("kind"))
+
+
+@query("select event_type as stage, count(*) as n, round(sum(value), 4) as total from events group by 1")
+def ledger_summary(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query()
+def retrieval_engine(spark, d):
+    from .plans import engine
+
+    return engine.run(table(spark, d, "harness_queries"), table(spark, d, "papers"), table(spark, d, "candidates"))
+
+
+@query("select date_trunc('hour', ts) as start, event_type as stage, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stage_counters(spark, d):
+    from .streaming.events import stage_counters as f
+
+    return f(table(spark, d, "events")).withColumns({"total": F.round("total", 4), "start": F.col("start").cast("timestamp_ntz")})
+
+
+@query("""with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as new from events),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from e) select user_id, min(ts) as start, max(ts) + interval 30 minutes as "end", count(*) as n from s group by user_id, s""")
+def user_sessions(spark, d):
+    from .streaming.events import sessions
+
+    return sessions(table(spark, d, "events")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
