@@ -57,7 +57,7 @@ def json_records(spark: SparkSession, path: str, strict: bool = True) -> DataFra
 
     With strict, a broken record raises when it is read; without, its row carries the error (the audit reader).
     """
-    files = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
