@@ -281,12 +281,19 @@ def cocitation(spark, d):
     return _rounded(graph.cocitation(graph.edges(table(spark, d, "papers")), _gold(spark, d)), "score")
 
 
-@query(f"""with {E}, seeds as (select distinct qid, unnest(gold) as seed from harness_queries), o as (select src, count(*) as d from edges group by 1),
+SEEDS_SQL = "select distinct qid, pid from candidates where channel_ranks['lexical:bm25'] <= 3"
+
+
+def _seeds(spark, d):
+    return table(spark, d, "candidates").where(F.col("channel_ranks")["lexical:bm25"] <= 3).select("qid", "pid").distinct()
+
+
+@query(f"""with {E}, seeds as (select qid, pid as seed from ({SEEDS_SQL})), o as (select src, count(*) as d from edges group by 1),
 p as (select s.qid, s.seed, e2.src as pid, count(*) as n from seeds s join edges e1 on e1.src = s.seed join edges e2 on e2.dst = e1.dst where e2.src <> s.seed group by 1, 2, 3),
 s as (select qid, pid, max(n / (o1.d + o2.d - n)::double) as score from p join o o1 on o1.src = seed join o o2 on o2.src = pid group by 1, 2)
 select qid, pid, round(score / max(score) over (partition by qid), 6) as score from s""")
 def coupling(spark, d):
-    return _rounded(graph.coupling(graph.edges(table(spark, d, "papers")), _gold(spark, d)), "score")
+    return _rounded(graph.coupling(graph.edges(table(spark, d, "papers")), _seeds(spark, d)), "score")
 
 
 PPR_SQL = f"""with {E}, o as (select src, count(*) as d from edges group by 1), s0 as (select qid, pid, 1.0 / count(*) over (partition by qid) as s from (select distinct qid, unnest(gold) as pid from harness_queries)), """ + ", ".join(
@@ -314,9 +321,9 @@ def citation_expand(spark, d):
     return graph.expand(graph.edges(table(spark, d, "papers")), _gold(spark, d))
 
 
-@query(f"with {E}, n as (select distinct unnest(gold) as pid from harness_queries) select src, dst from edges where src in (select pid from n) and dst in (select pid from n)")
+@query(f"with {E}, n as (select distinct pid from ({SEEDS_SQL})) select src, dst from edges where src in (select pid from n) and dst in (select pid from n)")
 def induced_subgraph(spark, d):
-    return graph.induced(graph.edges(table(spark, d, "papers")), _gold(spark, d))
+    return graph.induced(graph.edges(table(spark, d, "papers")), _seeds(spark, d))
 
 
 @query(f"with {E} select pid, count(*) as degree from (select src as pid from edges union all select dst from edges) group by 1")
