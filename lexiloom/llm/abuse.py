@@ -207,8 +207,8 @@ def sentence_features(sentence: str, learned: dict[str, float]) -> list[float]:
         - 1.2 * min(3, c["self"]) * (not you_too)
     )
     grams = set(words) | {a + " " + b for a, b in zip(words, words[1:], strict=False)}
-    odds = sorted((learned[g] for g in grams if g in learned), reverse=True)
-    return [*counts, phrase, disguised, quoted, capitals, sentence.count("!"), math.log(n), rule, near, sum(odds[:12]), sum(odds) / math.sqrt(n)]
+    odds = sorted((min(learned[g], 3.0) for g in grams if g in learned), reverse=True)[:4]  # bounded, so that a cross-fitted and a full lexicon read alike
+    return [*counts, phrase, disguised, quoted, capitals, sentence.count("!"), math.log(n), rule, near, sum(odds), min(sum(odds) / math.sqrt(n), 3.0)]
 
 
 def features(text: str, learned: dict[str, float]) -> list[float]:
@@ -218,7 +218,7 @@ def features(text: str, learned: dict[str, float]) -> list[float]:
     rule, odds = rows[:, BASE.index("rule")], rows[:, BASE.index("learned")]
     bad = np.maximum(rule, 0)
     order = np.sort(rule + odds)
-    return [*rows.max(axis=0).tolist(), float(bad.sum()), float(np.maximum(odds, 0).sum()), math.log(len(rows)), float(bad.max() / (bad.sum() + 1)), float(len(IN_WORD.findall(text)) / (len(text) + 1)), float(order[-2] if len(order) > 1 else 0.0)]
+    return [*rows.max(axis=0).tolist(), float(bad.sum()), min(float(np.maximum(odds, 0).sum()), 24.0), math.log(len(rows)), float(bad.max() / (bad.sum() + 1)), float(len(IN_WORD.findall(text)) / (len(text) + 1)), float(order[-2] if len(order) > 1 else 0.0)]
 
 
 def grams_of(text: str) -> set[str]:
@@ -293,10 +293,11 @@ class Trees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: knots (score, value) of the least-squares increasing fit."""
-    order = np.argsort(score, kind="stable")
+    ticks, at = np.unique(np.round(score, 3), return_inverse=True)  # ties share one value
+    counts = np.bincount(at)
     blocks: list[list[float]] = []
-    for s, t in zip(score[order], y[order], strict=True):
-        blocks.append([t, 1.0, s, s])
+    for x, t, w in zip(ticks, np.bincount(at, y) / counts, counts, strict=True):
+        blocks.append([t, float(w), x, x])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             t2, w2, _, hi = blocks.pop()
             t1, w1, lo, _ = blocks.pop()

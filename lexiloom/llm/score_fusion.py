@@ -53,7 +53,7 @@ def fused(candidates: DataFrame, weights: dict[str, float] | None = None) -> Dat
     def bounded(n: str) -> Column:
         scale = F.coalesce(F.when(F.col(f"{n}_mad") > 0, MAD_SCALE * F.col(f"{n}_mad")), F.when(F.col(f"{n}_mean") > 0, F.col(f"{n}_mean")), F.lit(1.0))
         z = (F.coalesce(F.col(n), F.col(f"{n}_lo")) - F.col(f"{n}_m")) / scale
-        return F.coalesce(1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))), F.lit(0.5))
+        return F.when(z.isNull(), F.lit(0.5)).otherwise(1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
 
     mean = sum((weights[n] / total * F.log(bounded(n)) for n in names[1:]), weights[names[0]] / total * F.log(bounded(names[0])))
     return x.select("qid", "pid", F.exp(mean).alias("score"))

@@ -257,7 +257,7 @@ def test_p9_schedule_stays_within_a_block():
 
 def test_p10_words():
     assert "fucking" in abuse.words_of("you f**king")[0] or abuse.words_of("you f**king")[1]
-    for x in ("b a s t a r d", "m0r0n", "i.d.i.o.t", "i​d​i​o​t", "idiооt"):
+    for x in ("b a s t a r d", "m0r0n", "i.d.i.o.t", "i​d​i​o​t", "idiоt"):
         words, n = abuse.words_of(f"you {x} there")
         assert n and any(abuse.kinds_of(w) & 1 for w in words), x
 
