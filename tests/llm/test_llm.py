@@ -201,6 +201,20 @@ def test_p6_index_recall():
     assert np.abs((packed * y).sum(1) - (x * y).sum(1)).max() < 0.05
 
 
+def test_p6_pairs_that_the_index_misses(spark):
+    title = "Évaluer Kumibeva: catalyst discovery et reinforcement learning"
+    ls = [(1, "Évnluer Kumibeva : catalyyst discevery et reinnforcement learning", "Lutenal D", 2024, None, None), (2, "Learning seismic", "Fopolul P", 2016, "10.99/ab.1234", None)]
+    ps = [(10, title, ["Lüsk Süzatusk", "Direth Lutenal"], 2024, "", "2402.60121"), (11, "Learning seismic imaging and other things", ["Pan Fopolul"], 2015, "10.99/AB.1234", ""), (12, "Graph networks for record linkage", ["X Y"], 2015, "", "")]
+    listings = spark.createDataFrame(ls, "list_id long, title string, author_line string, pub_year int, doi_raw string, arxiv_raw string")
+    p = spark.createDataFrame(ps, "rec_id long, title string, authors array<string>, year int, doi string, arxiv_id string")
+    a = matching.classes(listings, "list_id", "title", F.col("author_line"), "pub_year", "doi_raw", "arxiv_raw")[1]
+    b = matching.classes(p, "rec_id", "title", F.array_join("authors", " ; "), "year", "doi", "arxiv_id")[1]
+    assert matching.word_pairs(a, b).distinct().count() == 2
+    # with a floor that no cosine reaches, only the exact route is left
+    got = {(r["list_id"], r["rec_id"]): r["confidence"] for r in matching.matches(listings, p, least=1.1).collect()}
+    assert (1, 10) in got and (1, 12) not in got and all(0 <= c <= 1 for c in got.values())
+
+
 def test_p7(spark):
     df = spark.createDataFrame(
         [(1, "Token-Efﬁcient  Models!", ["A b", "C"], 1), (2, "ｔｏｋｅｎ efficient models", ["c.", "a-B", None, ""], 1), (3, "Café​", [], 1), (4, "CAFÉ", None, 1), (5, "Cafe", ["a", "b"], 1), (6, "---", ["!"], 1), (7, None, ["a", "b", "c"], 1), (8, "...", None, 1), (9, "café", None, 1)],
