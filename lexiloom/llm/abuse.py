@@ -328,9 +328,7 @@ class Model:
         p = 1 / (1 + np.exp(-m))
         if self.knots is not None:
             p = 0.98 * np.interp(m, *self.knots) + 0.02 * p
-        # noisy labels alone must not convict: a text without telling words or strongly learned ones stays below one half
-        bare = (x[:, NAMES.index("max_rule")] <= 0.5) & (x[:, NAMES.index("max_learned")] < 9)
-        return np.where(bare, 0.4 * p, p)
+        return p
 
 
 def log_odds(pos: float, neg: float, all_pos: float, all_neg: float) -> float:

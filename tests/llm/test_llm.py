@@ -276,6 +276,17 @@ def test_p10_words():
         assert n and any(abuse.kinds_of(w) & 1 for w in words), x
 
 
+def test_p10_trees_decide_without_rule():
+    x = np.zeros((400, len(abuse.NAMES)))
+    told = abuse.NAMES.index("max_exclaims")
+    x[::2, told] = 1.0
+    y = (x[:, told] > 0).astype(float)
+    base = abuse.base_margin(x)
+    trees = abuse.Trees().fit(x, y, base)
+    p = abuse.Model({}, trees, abuse.isotonic(base + trees.margin(x), y)).score(x)
+    assert (x[:, abuse.NAMES.index("max_rule")] <= 0.5).all() and (p[y == 1] >= 0.5).all() and (p[y == 0] < 0.5).all()
+
+
 def test_p10_held_out(spark):
     bad = ["You are a stupid moron and nobody wants your face here.", "Drop dead, you useless idiot.", "Send nudes, you horny little reviewer."]
     good = ["The results improve recall on held-out data.", "Please kill the second table, it repeats the first.", 'Raters saw words such as "idiot" in the lexicon.', "What a stupid bug of mine, sorry."]
