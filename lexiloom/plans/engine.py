@@ -67,7 +67,7 @@ def typed_rrf(h: DataFrame, plans: DataFrame) -> DataFrame:
     return x.groupBy("qid", "pid").agg(F.sum(F.coalesce("w", F.lit(1.0)) / (60 + F.col("rank"))).alias("score"))
 
 
-def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int = 220, seeds: int = 6, core_ratio: float = 1.25, year_filter: bool = True, use_graph: bool = True, pagerank_rounds: int = 4) -> DataFrame:
+def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int = 220, seeds: int = 6, core_ratio: float = 1.25, year_filter: bool = True, use_graph: bool = True, pagerank_rounds: int = 24) -> DataFrame:
     """(qid, pid, rank, p, tier): the answer set of every question.
 
     parse -> hits -> hard filters -> fusion -> citation seeds and graph channel -> first-level

@@ -311,7 +311,7 @@ def pagerank_4_rounds(spark, d):
 
 @query()
 def graph_prior(spark, d):
-    return _rounded(graph.graph_prior(graph.edges(table(spark, d, "papers")), _gold(spark, d), rounds=8), "score")
+    return _rounded(graph.graph_prior(graph.edges(table(spark, d, "papers")), _gold(spark, d)), "score")
 
 
 @query(f"""with {E}, s as (select qid, pid as seed from (select *, row_number() over (partition by qid order by pid) as n from (select distinct qid, unnest(gold) as pid from harness_queries)) where n <= 6),

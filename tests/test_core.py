@@ -1,5 +1,6 @@
 """The core operators against brute force on small fixtures, and properties of the estimators."""
 
+import inspect
 import math
 from datetime import datetime
 
@@ -7,8 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import queries
 from lexiloom.functions import ids, text
 from lexiloom.operators import calibrate, coverage, entities, evaluate, gate, graph, lexical, orphans, ranks, views
+from lexiloom.plans import engine
 
 T1, T2, T3 = (datetime(2024, m, 1) for m in (1, 5, 9))
 
@@ -182,6 +185,25 @@ def test_graph(spark):
     assert graph.induced(e, spark.createDataFrame([("a",), ("b",)], "pid string")).count() == 1
 
 
+def test_pagerank_24_rounds(spark, monkeypatch):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(9)]
+    e = spark.createDataFrame(chain, "src string, dst string")
+    seeds = spark.createDataFrame([("q", "n0")], "qid string, pid string")
+    s = np.eye(10)[0]
+    for _ in range(24):
+        new = np.concatenate([[0.0], s[:-1]])
+        s = 0.72 * new + (1 - 0.72 * new.sum()) * np.eye(10)[0]
+    got = {r["pid"]: r["score"] for r in graph.pagerank(e, seeds).collect()}
+    assert got == pytest.approx({f"n{i}": s[i] for i in range(10)})
+    assert inspect.signature(engine.run).parameters["pagerank_rounds"].default == 24
+    seen = {}
+    monkeypatch.setattr(queries.graph, "graph_prior", lambda e, seeds, **options: seen.update(options) or seeds.withColumn("score", F.lit(1.0)))
+    monkeypatch.setattr(queries, "_gold", lambda spark, d: seeds)
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: papers(spark))
+    queries.QUERIES["graph_prior"](spark, "")
+    assert seen.get("rounds", 24) == 24
+
+
 def test_entities(spark):
     rows = [(1, "10.1/A", "", "T one", None, None, "s2"), (2, " 10.1/a", "", "T one", "long text", 2020, "arxiv"), (3, "", "1.2v1", "x", "", None, "s2"), (4, None, "1.2V3", "y", "abc", 1999, None), (5, "", "", None, None, None, None)]
     p = spark.createDataFrame(rows, "rec_id long, doi string, arxiv_id string, title string, abstract string, year int, source string")
