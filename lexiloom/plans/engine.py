@@ -67,10 +67,10 @@ def typed_rrf(h: DataFrame, plans: DataFrame) -> DataFrame:
     return x.groupBy("qid", "pid").agg(F.sum(F.coalesce("w", F.lit(1.0)) / (60 + F.col("rank"))).alias("score"))
 
 
-def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int = 220, seeds: int = 6, core_ratio: float = 1.25, year_filter: bool = True, use_graph: bool = True, pagerank_rounds: int = 24) -> DataFrame:
+def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int = 220, seeds: int = 6, core_ratio: float = 1.25, year_filter: bool = True, use_graph: bool = True, pagerank_rounds: int = 24, expand_limit: int = 40) -> DataFrame:
     """(qid, pid, rank, p, tier): the answer set of every question.
 
-    parse -> hits -> hard filters -> fusion -> citation seeds and graph channel -> first-level
+    parse -> hits -> hard filters -> fusion -> citation seeds, expansion and graph channel -> fusion again -> first-level
     score with cut -> fusion of signals -> calibration to the estimated mass -> F1 gate -> tiers.
     Stages that later stages read more than once are stored in the shared folder. Questions
     without candidates have no rows.
@@ -79,16 +79,26 @@ def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int
     docs = lexical.corpus(papers)
     h = ranks.hits(candidates)
     known = docs.select("pid", "title", "abstract", "year", "citation_count", "doc_type")
-    pool = h.select("qid", "pid").distinct().join(known, "pid").join(plans.select("qid", "query", "kind", "year_min"), "qid").where(F.length("title") >= 8)
-    if year_filter:
-        pool = pool.where(F.col("year").isNull() | F.col("year_min").isNull() | (F.col("year") >= F.col("year_min")))
-    pool = stored(pool)
+
+    def eligible(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(known, "pid").join(plans.select("qid", "query", "kind", "year_min"), "qid").where(F.length("title") >= 8)
+        return x.where(F.col("year").isNull() | F.col("year_min").isNull() | (F.col("year") >= F.col("year_min"))) if year_filter else x
+
+    pool = stored(eligible(h.select("qid", "pid").distinct()))
     h = stored(h.join(pool.select("qid", "pid"), ["qid", "pid"], "left_semi"))
-    fused = stored(typed_rrf(h, plans))
+    fused = typed_rrf(h, plans)
+    if use_graph:
+        start = stored(ranks.top(fused, seeds).select("qid", "pid"))
+        e = stored(graph.edges(papers))
+        reached = graph.expand(e, start, expand_limit, seeds).select("qid", "pid", "channel", "rank")
+        pool = stored(eligible(h.select("qid", "pid").unionByName(reached.select("qid", "pid")).distinct()))
+        g = stored(graph.graph_prior(e, start, rounds=pagerank_rounds).join(pool.select("qid", "pid"), ["qid", "pid"], "left_semi"))
+        more = reached.join(pool.select("qid", "pid"), ["qid", "pid"], "left_semi").unionByName(graph.cocite_channel(g).select("qid", "pid", "channel", "rank"))
+        h = stored(h.select("qid", "pid", "channel", "rank").unionByName(more).groupBy("qid", "pid", "channel").agg(F.min("rank").alias("rank")))
+        fused = typed_rrf(h, plans)
+    fused = stored(fused)
     prior = fused.select("qid", "pid").withColumn("graph", F.lit(0.0))
     if use_graph:
-        start = ranks.top(fused, seeds).select("qid", "pid")
-        g = graph.graph_prior(graph.edges(papers), start, rounds=pagerank_rounds)
         prior = fused.select("qid", "pid").join(g.withColumnRenamed("score", "graph"), ["qid", "pid"], "left").withColumn("graph", F.coalesce("graph", F.lit(0.0)))
     per = h.groupBy("qid", "pid").agg(F.min("rank").alias("best_rank"), F.countDistinct(F.split("channel", ":")[0]).alias("families"))
     x = pool.join(fused.withColumnRenamed("score", "rrf"), ["qid", "pid"]).join(prior, ["qid", "pid"]).join(per, ["qid", "pid"]).withColumn("constraint", F.lit(1.0))

@@ -204,6 +204,15 @@ def test_pagerank_24_rounds(spark, monkeypatch):
     assert seen.get("rounds", 24) == 24
 
 
+def test_engine_expands_citations(spark):
+    rows = [(i, f"p{i}", f"dense retrieval paper number {i}", "dense retrieval", 2020, 5, "article", ["far"] if i == 0 else [], []) for i in range(4)]
+    rows += [(10, "far", "a paper that only citations reach", "", 2020, 5, "article", [], []), (11, "none", "a paper that nothing reaches", "", 2020, 5, "article", [], [])]
+    p = spark.createDataFrame(rows, "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>")
+    q = spark.createDataFrame([("q", "dense retrieval")], "qid string, query string")
+    c = spark.createDataFrame([("q", f"p{i}", {"lexical:bm25": i + 1, "dense:views": i + 1}) for i in range(4)], "qid string, pid string, channel_ranks map<string,int>")
+    assert {r["pid"] for r in engine.run(q, p, c, pagerank_rounds=2).collect()} == {"p0", "p1", "p2", "p3", "far"}
+
+
 def test_entities(spark):
     rows = [(1, "10.1/A", "", "T one", None, None, "s2"), (2, " 10.1/a", "", "T one", "long text", 2020, "arxiv"), (3, "", "1.2v1", "x", "", None, "s2"), (4, None, "1.2V3", "y", "abc", 1999, None), (5, "", "", None, None, None, None)]
     p = spark.createDataFrame(rows, "rec_id long, doi string, arxiv_id string, title string, abstract string, year int, source string")
