@@ -113,6 +113,6 @@ def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int
     gold = calibrate.p_gold(F.col("p"), calibrate.propensity(F.col("citation_count"), F.col("year"), tx.is_review(F.col("doc_type"), F.col("title"))), F.col("kind"))
     final = stored(shaped.select("qid", "pid", gold.alias("p")))
     est = coverage.estimate(coverage.capture_counts(h, final), coverage.channel_jaccard(h), plans.select("qid", "prior"))
-    curve = gate.f1_curve(final, est.select("qid", "n_hat"))
+    curve = gate.f1_curve_draws(final, coverage.draws(est))
     t = gate.tiers(curve, gate.cutoff(curve, core_ratio))
     return t.join(final, ["qid", "pid"]).select("qid", "pid", F.col("k").alias("rank"), F.round("p", 6).alias("p"), "tier")

@@ -406,7 +406,7 @@ def f1_fixed_point(spark, d):
 def f1_gate_draws(spark, d):
     h = _hits(spark, d)
     est = coverage.estimate(coverage.capture_counts(h), coverage.channel_jaccard(h), _prior(spark, d))
-    c = gate.f1_curve_draws(_curve(spark, d).select("qid", "pid", "p"), coverage.draws(est, 100))
+    c = gate.f1_curve_draws(_curve(spark, d).select("qid", "pid", "p"), coverage.draws(est))
     return _rounded(gate.cutoff(c, 1.25), "best_f1", "threshold")
 
 

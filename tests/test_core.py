@@ -128,6 +128,18 @@ def test_gate_is_the_best_prefix(spark):
     assert all(r["holds"] for r in gate.fixed_point(curve, gate.cutoff(curve)).collect())
 
 
+def test_gates_use_400_draws(spark, monkeypatch):
+    used, real = [], coverage.draws
+    monkeypatch.setattr(coverage, "draws", lambda *a, **k: used.append(real(*a, **k)) or used[-1])
+    monkeypatch.setattr(queries, "_hits", lambda spark, d: hits(spark))
+    monkeypatch.setattr(queries, "_prior", lambda spark, d: spark.createDataFrame([("q", 12.0)], "qid string, prior double"))
+    assert queries.QUERIES["f1_gate_draws"](spark, "").count() == 1
+    p = spark.createDataFrame([(i, f"p{i}", f"dense retrieval number {i}", "", 2020, 5, "article", [], []) for i in range(4)], "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>")
+    c = spark.createDataFrame([("q", f"p{i}", {"lexical:bm25": i + 1}) for i in range(4)], "qid string, pid string, channel_ranks map<string,int>")
+    assert engine.run(spark.createDataFrame([("q", "dense retrieval")], "qid string, query string"), p, c, use_graph=False).count() == 4
+    assert [x.where("qid = 'q'").count() for x in used] == [400, 400]
+
+
 def test_calibrators_keep_order_and_mass():
     rng = np.random.default_rng(1)
     s = rng.random(200)
