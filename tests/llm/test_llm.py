@@ -110,6 +110,12 @@ def test_p3_found_and_templates(spark):
     assert markup.cleaned(p.limit(0)).count() == 0
 
 
+def test_p3_every_frequent_skeleton_is_a_wrapper(spark):
+    rows = [(k * 10 + i, "", f"<x{k}>Banner {k}</x{k}><y{k}>text number {i}</y{k}>", "s2", "", "") for k in range(70) for i in range(6 if k < 64 else 5)]
+    got = [r["text"] for r in markup.cleaned(papers(spark, rows)).collect()]
+    assert len(got) == len(rows) and not any("Banner" in t for t in got) and all("text number" in t for t in got)
+
+
 CAND = "cand_id long, qid string, pid string, channel_ranks map<string,int>, retrieval_score double, citation_count int, retrieved_at timestamp, score double"
 
 
