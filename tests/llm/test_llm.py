@@ -90,6 +90,12 @@ def test_p3_clean():
     assert "x" in markup.clean("<b>" * 3000 + "x")
 
 
+def test_p3_long_formula_and_heading():
+    formula, heading = "x^2 + " * 200 + "y", "word " * 80 + "end"
+    assert markup.clean(f"with ${formula}$ here") == f"with ${formula}$ here" and markup.has_markup(f"with ${formula}$ here")
+    assert markup.clean(f"== {heading} ==") == f"# {heading}"
+
+
 def test_p3_tree_matching():
     t = lambda s: markup._tree(markup.skeleton(s)[0])
     a, b = t("<ul><li>a</li><li>b</li></ul>"), t("<ul><li>c</li></ul>")
