@@ -21,8 +21,9 @@ def chao1(counts: DataFrame, max_ratio: float = 4.0) -> DataFrame:
     """counts with n_hat and variance: the bias-corrected lower bound, its excess at most max_ratio times d."""
     f1, f2, d = F.col("f1"), F.col("f2"), F.col("d")
     extra = F.least(f1 * F.greatest(f1 - 1, F.lit(0.0)) / (2 * (f2 + 1)), max_ratio * d)
-    r = f1 / F.greatest(f2, F.lit(1e-9))
-    var = F.when(f2 > 1e-9, f2 * (r * r / 2 + r * r * r + r * r * r * r / 4)).otherwise(F.greatest(f1 * (f1 - 1) / 2 + f1 * F.pow(2 * f1 - 1, F.lit(2.0)) / 4 - F.pow(f1, F.lit(4.0)) / (4 * F.greatest(d + extra, F.lit(1.0))), F.lit(0.0)))
+    r = f1 / f2
+    lone = f1 * F.pow(2 * f1 - 1, F.lit(2.0)) / 4 / F.greatest(f1, F.lit(1.0)) + f1 * (f1 - 1) / 2
+    var = F.when(f2 > 0, f2 * (r * r / 2 + r * r * r + r * r * r * r / 4)).when(f1 > 1, lone).otherwise(F.greatest(d, F.lit(1.0)))
     return counts.withColumns({"n_hat": d + extra, "variance": var})
 
 
@@ -60,26 +61,40 @@ def draws(est: DataFrame, n: int = 400, seed: int = 0) -> DataFrame:
     return est.withColumn("one", F.lit(1)).join(table.withColumn("one", F.lit(1)), "one").select("qid", "i", F.greatest(F.col("d"), F.col("d") + extra * F.exp(F.col("sd") * F.col("z") - F.col("sd") * F.col("sd") / 2)).alias("n_sample"))
 
 
-def weakest_channel(h: DataFrame) -> DataFrame:
-    """(qid, channel, lone): how many items only this channel found; channels without any count 0."""
-    c = h.groupBy("qid", "pid").agg(F.count("*").alias("c"), F.min("channel").alias("channel"))
+def weakest_channel(h: DataFrame, relevance: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """(qid, channel, lone, relevant): how many relevant items only this channel found, and how many it found; relevant are all, or those of relevance(qid, pid, p) from `least`."""
+    x = h if relevance is None else h.join(relevance.where(F.col("p") >= least).select("qid", "pid"), ["qid", "pid"], "left_semi")
+    c = x.groupBy("qid", "pid").agg(F.count("*").alias("c"), F.min("channel").alias("channel"))
     lone = c.where("c = 1").groupBy("qid", "channel").agg(F.count("*").alias("lone"))
-    return h.select("qid", "channel").distinct().join(lone, ["qid", "channel"], "left").select("qid", "channel", F.coalesce("lone", F.lit(0)).alias("lone"))
+    every = x.groupBy("qid", "channel").agg(F.count("*").alias("relevant"))
+    y = h.select("qid", "channel").distinct().join(lone, ["qid", "channel"], "left").join(every, ["qid", "channel"], "left")
+    return y.select("qid", "channel", F.coalesce("lone", F.lit(0)).alias("lone"), F.coalesce("relevant", F.lit(0)).alias("relevant"))
 
 
 def mass_anchor(h: DataFrame, prior: DataFrame, prior_weight: float = 1.0, max_ratio: float = 0.6) -> DataFrame:
-    """(qid, mass): items found by two or more channel families, blended with prior(qid, prior) in the log domain; the prior alone if none or too many are."""
+    """(qid, multi, pool, mass): prior(qid, prior), 1 at least, to the power prior_weight, times the items found by two or more channel families to the rest; the prior alone if none or too many are."""
     fam = h.groupBy("qid", "pid").agg(F.countDistinct(F.split("channel", ":")[0]).alias("f"))
     c = fam.groupBy("qid").agg(F.sum((F.col("f") >= 2).cast("int")).alias("multi"), F.count("*").alias("pool")).join(prior, "qid")
-    gate = (F.col("multi") == 0) | (F.col("multi") > max_ratio * F.col("pool"))
-    blend = F.exp((F.log(F.col("multi").cast("double")) + prior_weight * F.log("prior")) / (1 + prior_weight))
-    return c.select("qid", "multi", "pool", F.when(gate, F.col("prior")).otherwise(blend).alias("mass"))
+    pm, w = F.greatest("prior", F.lit(1.0)), min(1.0, max(0.0, prior_weight))
+    gate = (F.col("multi") == 0) | (F.col("multi") / F.col("pool") > max_ratio)
+    blend = F.exp(w * F.log(pm) + (1 - w) * F.log(F.col("multi").cast("double")))
+    return c.select("qid", "multi", "pool", F.when(gate, pm).otherwise(blend).alias("mass"))
 
 
-def should_stop(est: DataFrame, counts: DataFrame, round_index: int, max_rounds: int, target: float = 0.85, least_gain: float = 0.005) -> DataFrame:
-    """(qid, stop, reason): budget of rounds, coverage reached, or too little to gain by one more round."""
+def should_stop(est: DataFrame, counts: DataFrame, round_index: int, max_rounds: int, exhausted: bool = False, target: float = 0.85, least_gain: float = 0.005, last_new: DataFrame | None = None) -> DataFrame:
+    """(qid, stop, reason, coverage, expected_new, gain): budget, rounds, coverage reached, or too little to gain by one more round.
+
+    last_new(qid, n) bounds what the next round may find by what the last one did.
+    """
     x = est.join(counts.select("qid", "f1"), "qid")
     d, n = F.col("d"), F.col("n_hat")
-    new = F.col("f1") / F.greatest(F.greatest(d, F.lit(1.0)) + F.col("f1"), F.lit(1.0)) * F.greatest(n - d, F.lit(0.0))
-    reason = F.when(F.lit(round_index >= max_rounds), "rounds").when(d / n >= target, "coverage").when(2 * new / (d + n) < least_gain, "gain")
-    return x.select("qid", reason.isNotNull().alias("stop"), reason.alias("reason"))
+    total = F.greatest(d, F.lit(1.0))
+    new = F.col("f1") / F.greatest(total + F.col("f1"), F.lit(1.0)) * F.greatest(n - d, F.lit(0.0))
+    if last_new is not None:
+        x = x.join(last_new.select("qid", F.col("n").cast("double").alias("last")), "qid", "left")
+        new = F.least(new, F.coalesce("last", new))
+    x = x.withColumn("expected_new", new)
+    gain = 2 * F.col("expected_new") / F.greatest(d + n, F.lit(1e-9))
+    cover = d / F.greatest(n, F.lit(1e-9))
+    reason = F.when(F.lit(exhausted), "budget").when(F.lit(round_index >= max_rounds), "rounds").when(cover >= target, "coverage").when(gain < least_gain, "gain")
+    return x.select("qid", reason.isNotNull().alias("stop"), reason.alias("reason"), cover.alias("coverage"), "expected_new", gain.alias("gain"))

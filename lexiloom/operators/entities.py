@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import identity_key
-from ..functions.text import is_review, title_similarity, tokenize
+from ..functions.text import is_review, jaccard, ngrams, tokenize
 
 
 def keyed(papers: DataFrame) -> DataFrame:
@@ -30,6 +30,7 @@ def merge_exact(papers: DataFrame) -> DataFrame:
         longest("abstract", F.length(F.coalesce("abstract", F.lit("")))),
         longest("authors", F.size("authors")),
         longest("reference_ids", F.size("reference_ids")),
+        longest("citing_ids", F.size("citing_ids")),
         F.min_by("year", F.when(F.col("year").isNotNull(), F.col("rec_id"))).alias("year"),
         first("venue"),
         first("doi"),
@@ -43,8 +44,8 @@ def merge_exact(papers: DataFrame) -> DataFrame:
 
 
 def blocked(papers: DataFrame) -> DataFrame:
-    """papers with the first title token as block."""
-    return papers.withColumn("block", F.get(tokenize(F.col("title"), False), F.lit(0))).where("block is not null")
+    """papers with the first title token, stop words aside, as block; `_` where there is none."""
+    return papers.withColumn("block", F.coalesce(F.get(tokenize(F.col("title")), F.lit(0)), F.lit("_")))
 
 
 def fuzzy_pairs(papers: DataFrame, least: float = 0.86) -> DataFrame:
@@ -52,23 +53,32 @@ def fuzzy_pairs(papers: DataFrame, least: float = 0.86) -> DataFrame:
 
     Equal titles are folded first and meet once; the other pairs of a block share one of their
     rare words: by prefix filtering on the words' document frequencies, alike titles must
-    share a word among their rarest ones, so a frequent block is not paired with itself.
+    share a word among their rarest ones, so a frequent block is not paired with itself. Titles without any word
+    are alike to none. Token arrays are made once per title and travel with it.
     """
-    t = blocked(papers).select(F.col("rec_id").alias("id"), "title", "block", F.array_distinct(tokenize(F.col("title"), False)).alias("w"))
-    one = t.groupBy("block", "title", "w").agg(F.min("id").alias("id"))
+    from pyspark.sql import Window
+
+    t = tokenize(F.col("title"), False)
+    one = blocked(papers).groupBy("block", "title").agg(F.min("rec_id").alias("id")).select("block", "id", F.array_distinct(t).alias("w"), F.array_distinct(ngrams(t)).alias("g")).where(F.size("w") > 0)
     words = one.select("id", "block", F.size("w").alias("n"), F.explode("w").alias("word"))
     df = words.groupBy("word").agg(F.count("*").alias("df"))
     # .5 J1 + .5 J2 >= least gives J1 >= 2 least - 1
     share = 2 * least - 1
-    from pyspark.sql import Window
-
     order = Window.partitionBy("id").orderBy("df", "word")
     rare = words.join(df, "word").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
-    a, b = rare.select("block", "word", F.col("id").alias("a")), rare.select("block", "word", F.col("id").alias("b"))
-    pairs = a.join(b, ["block", "word"]).where("a < b").select("a", "b").distinct()
-    titles = one.select("id", "title")
-    x = pairs.join(titles.select(F.col("id").alias("a"), F.col("title").alias("ta")), "a").join(titles.select(F.col("id").alias("b"), F.col("title").alias("tb")), "b")
-    return x.withColumn("sim", title_similarity(F.col("ta"), F.col("tb"))).where(F.col("sim") >= least).select("a", "b", "sim")
+    # alike titles have nearly as many words, which halves the pairs of a frequent word
+    a, b = (rare.select("block", "word", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
+    pairs = a.join(b, ["block", "word"]).where((F.col("a") < F.col("b")) & (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))).select("a", "b").distinct()
+    side = lambda k: one.select(F.col("id").alias(k), F.struct("w", "g").alias(f"t{k}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b")
+    return x.select("a", "b", (0.5 * jaccard(F.col("ta.w"), F.col("tb.w")) + 0.5 * jaccard(F.col("ta.g"), F.col("tb.g"))).alias("sim")).where(F.col("sim") >= least)
+
+
+def renamed(rows: DataFrame, leaders: DataFrame, key: str = "pid") -> DataFrame:
+    """rows with each key replaced by its leader in leaders(key, leader); of rows that become equal but for `rank`, the best rank stays."""
+    x = rows.join(leaders.select(key, "leader"), key, "left").withColumn(key, F.coalesce("leader", key)).drop("leader")
+    rest = [c for c in x.columns if c != "rank"]
+    return x.groupBy(*rest).agg(F.min("rank").alias("rank")) if "rank" in x.columns else x.distinct()
 
 
 def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -132,10 +142,8 @@ def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hashing_vectors(docs: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+def hashing_vectors(docs: DataFrame, key: str, text: str, dim: int = 4096) -> DataFrame:
     """(key, bucket, w): unit TF-IDF vectors of words and word pairs, hashed by md5 into dim buckets."""
-    from ..functions.text import ngrams
-
     t = docs.select(key, tokenize(F.col(text)).alias("t")).select(key, F.explode(F.concat("t", ngrams(F.col("t")))).alias("term"))
     tf = t.groupBy(key, "term").agg(F.count("*").alias("c"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -32,15 +32,41 @@ def summary(rows: DataFrame, by: str | None = None) -> DataFrame:
     return g.agg(F.count("*").alias("queries"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), micro.alias("micro_f1"))
 
 
+# The budgets at which a run counts as efficient.
+BASE = {"llm_calls": 16.0, "tokens": 60_000.0, "wall_seconds": 45.0}
+
+
 def efficiency(value: Column, base: float) -> Column:
     """1 up to the base, then falling with the logarithm to 0 at six times it."""
     return F.when(value <= base, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.log(value / base) / F.log(F.lit(6.0))))
 
 
+def efficiency_score() -> Column:
+    """The mean efficiency over llm_calls, tokens and wall_seconds; missing ones cost nothing."""
+    return sum((efficiency(F.coalesce(F.col(k).cast("double"), F.lit(0.0)), b) for k, b in BASE.items()), F.lit(0.0)) / len(BASE)
+
+
 def composite(f1: Column, efficient: Column, structure: Column) -> Column:
     return 0.7 * f1 + 0.2 * efficient + 0.1 * structure
 
 
+def public_macro(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """One row: successful and failed cases of rows(case, error, rank, hit, gold) and the macro precision, recall and F1 at each k over the successful ones.
+
+    A failed case has one row with an error; a case without predictions one row without rank.
+    """
+    bad = rows.where("error is not null").select("case").distinct()
+    good = rows.join(bad, "case", "left_anti")
+    per = good.groupBy("case").agg(F.max("gold").alias("gold"), *(F.sum((F.col("rank") <= k).cast("int")).alias(f"n{k}") for k in ks), *(F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias(f"h{k}") for k in ks))
+    out = [F.count("*").alias("successful")]
+    for k in ks:
+        h, n, g = F.coalesce(f"h{k}", F.lit(0)), F.coalesce(f"n{k}", F.lit(0)), F.greatest("gold", F.lit(1))
+        p, r = F.when(n > 0, h / n).otherwise(F.lit(0.0)), h / g
+        f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+        out += [F.coalesce(F.avg(v), F.lit(0.0)).alias(f"{name}_at_{k}") for name, v in (("precision", p), ("recall", r), ("f1", f))]
+    return per.agg(*out).crossJoin(bad.agg(F.count("*").alias("failed")))
+
+
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     """(bin, n, mean_p, rate, gap) of rows(p, y) in equal bins."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")

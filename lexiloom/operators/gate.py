@@ -29,10 +29,11 @@ def f1_curve_draws(scored: DataFrame, samples: DataFrame) -> DataFrame:
     return x.join(s, "qid").select("qid", "pid", "p", "k", mean().alias("f1"))
 
 
-def cutoff(curve: DataFrame, core_ratio: float = 1.0, min_k: int = 1) -> DataFrame:
-    """(qid, k, best_f1, threshold, core_k): the first best prefix, its threshold F1/2, and how many of it pass threshold x core_ratio."""
+def cutoff(curve: DataFrame, core_ratio: float = 1.0, min_k: int = 1, ratio: DataFrame | None = None) -> DataFrame:
+    """(qid, k, best_f1, threshold, core_k): the first best prefix, its threshold F1/2, and how many of it pass threshold x core_ratio, or the ratio of ratio(qid, core_ratio)."""
     best = curve.where(F.col("k") >= min_k).groupBy("qid").agg(F.max_by(F.struct(F.col("k").alias("k"), F.col("f1").alias("f1")), F.struct(F.round("f1", 12), -F.col("k"))).alias("b")).select("qid", F.col("b.k").alias("k_star"), F.col("b.f1").alias("best_f1"))
-    core = curve.join(best, "qid").groupBy("qid", "k_star", "best_f1").agg(F.sum(((F.col("k") <= F.col("k_star")) & (F.col("p") > F.col("best_f1") / 2 * core_ratio)).cast("int")).alias("c"))
+    best = best.withColumn("core_ratio", F.lit(core_ratio)) if ratio is None else best.join(ratio.select("qid", "core_ratio"), "qid")
+    core = curve.join(best, "qid").groupBy("qid", "k_star", "best_f1").agg(F.sum(((F.col("k") <= F.col("k_star")) & (F.col("p") > F.col("best_f1") / 2 * F.col("core_ratio"))).cast("int")).alias("c"))
     return core.select("qid", F.col("k_star").alias("k"), "best_f1", (F.col("best_f1") / 2).alias("threshold"), F.greatest(F.least("c", "k_star"), F.lit(1)).alias("core_k"))
 
 
@@ -50,11 +51,32 @@ def tiers(curve: DataFrame, gate: DataFrame) -> DataFrame:
 
 
 def rank_blend(scored: DataFrame, weight: float = 0.5) -> DataFrame:
-    """(qid, pid, p): the same values of p, handed out in the order of the blend of p and s_l2."""
-    blend = (1 - weight) * F.col("p") + weight * F.col("s_l2")
-    x = scored.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(F.round(blend, 9).desc(), "pid")))
-    y = scored.select("qid", F.col("p").alias("p_new"), F.row_number().over(Window.partitionBy("qid").orderBy(*_order())).alias("pos"))
-    return x.select("qid", "pid", "pos").join(y, ["qid", "pos"]).select("qid", "pid", F.col("p_new").alias("p"))
+    """(qid, pid, p): the same values of p, handed out in the order of the blend of p and the scaled s_l2; a qid with a missing or constant s_l2 stays as it is."""
+    w = Window.partitionBy("qid")
+    lo, hi = F.min("s_l2").over(w), F.max("s_l2").over(w)
+    usable = (F.count("s_l2").over(w) == F.count("*").over(w)) & (hi - lo > 1e-12)
+    x = scored.withColumn("blend", F.when(usable, (1 - weight) * F.col("p") + weight * (F.col("s_l2") - lo) / (hi - lo)).otherwise(F.col("p")))
+    x = x.select("qid", "pid", F.row_number().over(Window.partitionBy("qid").orderBy(F.round("blend", 9).desc(), "pid")).alias("pos"))
+    y = scored.select("qid", F.greatest(F.least("p", F.lit(1 - 1e-4)), F.lit(1e-4)).alias("p_new"), F.row_number().over(Window.partitionBy("qid").orderBy(*_order())).alias("pos"))
+    return x.join(y, ["qid", "pos"]).select("qid", "pid", F.col("p_new").alias("p"))
+
+
+def band(curve: DataFrame, gate: DataFrame, width: float = 0.15) -> DataFrame:
+    """(qid, lo, hi): the places, counted from 0, between which p lies within `width` of the threshold; hi is exclusive."""
+    x = curve.join(gate.select("qid", "threshold"), "qid")
+    return x.groupBy("qid").agg(F.sum((F.col("p") > F.col("threshold") + width).cast("int")).alias("lo"), F.sum((F.col("p") >= F.col("threshold") - width).cast("int")).alias("hi"))
+
+
+def monte_carlo_f1(p: list[float], sizes: list[float], draws: int = 2000, seed: int = 0) -> float:
+    """The mean F1 of a prefix with hit chances p against set sizes drawn from `sizes`, each at least the hits: what the curve approximates."""
+    import numpy as np
+
+    if not p:
+        return 0.0
+    rng = np.random.default_rng(seed)
+    hits = (rng.random((draws, len(p))) < np.asarray(p)).sum(axis=1)
+    n = np.maximum(rng.choice(np.asarray(sizes, dtype=float), size=draws), hits)
+    return float(np.mean(2 * hits / np.maximum(len(p) + n, 1e-9)))
 
 
 def normal_cdf(x: Column) -> Column:
@@ -69,7 +91,7 @@ def normal_cdf(x: Column) -> Column:
 def value_of_information(scored: DataFrame) -> DataFrame:
     """scored(qid, pid, p, sigma, threshold, n) with voi: the chance of a wrong side times what it costs."""
     d = F.abs(F.col("p") - F.col("threshold"))
-    return scored.withColumn("voi", normal_cdf(-d / F.greatest("sigma", F.lit(1e-9))) * 2 * d / (1 + F.col("n")))
+    return scored.withColumn("voi", normal_cdf(-d / F.greatest("sigma", F.lit(1e-6))) * 2 * d / F.greatest(1 + F.col("n"), F.lit(1e-9)))
 
 
 def select_top(curve: DataFrame, k: int) -> DataFrame:

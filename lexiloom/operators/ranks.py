@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, title_similarity, tokenize
+from ..functions.text import jaccard, ngrams, tokenize
+from ..runtime import stored
+from .lexical import doc_terms
 
 # Fusion priors of the signals by query type.
 PRIORS = {
@@ -56,65 +58,104 @@ def top(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def l1_score(cands: DataFrame) -> Column:
-    """The linear first-level score from rrf, graph, query, title, abstract, families, best_rank and constraint columns."""
-    q = tokenize(F.col("query"))
-    doc = F.array_union(tokenize(F.col("title")), tokenize(F.col("abstract")))
-    cover = F.when(F.size(F.array_distinct(q)) > 0, F.size(F.array_intersect(q, doc)) / F.size(F.array_distinct(q))).otherwise(F.lit(0.0))
-    return (
-        0.29 * (1 - F.exp(-40 * F.col("rrf")))
+def text_signals(pool: DataFrame, docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """(qid, pid, cover, s_title) of pool(qid, pid): the share of the question's tokens in title and abstract, and the best similarity of one of its spans to the title.
+
+    Questions are tokenised once each and documents once each; covers are counted over a join of tokens.
+    """
+    asked = plans.select("qid", F.array_distinct(tokenize(F.col("query"))).alias("q"))
+    terms = asked.select("qid", F.explode("q").alias("term"))
+    p = pool.select("qid", "pid").distinct()
+    held = p.join(doc_terms(docs, terms.select("term").distinct()).select("pid", "term"), "pid").join(terms, ["qid", "term"]).groupBy("qid", "pid").agg(F.count("*").alias("held"))
+    shape = lambda c: F.struct(F.array_distinct(tokenize(c, False)).alias("w"), F.array_distinct(ngrams(tokenize(c, False))).alias("b"))
+    spans = asked.select("qid", F.greatest(F.size("q"), F.lit(1)).alias("n")).join(plans.select("qid", F.transform("spans", shape).alias("spans")), "qid")
+    x = p.join(docs.select("pid", shape(F.col("title")).alias("t")), "pid").join(spans, "qid").join(held, ["qid", "pid"], "left")
+    alike = F.transform("spans", lambda s: 0.5 * jaccard(s["w"], F.col("t.w")) + 0.5 * jaccard(s["b"], F.col("t.b")))
+    return x.select("qid", "pid", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("cover"), F.coalesce(F.array_max(alike), F.lit(0.0)).alias("s_title"))
+
+
+def channel_signals(h: DataFrame) -> DataFrame:
+    """(qid, pid, best_rank, families, channels, s_dense, s_reference) of hits; ranks count from 1.
+
+    A dense hit without a native score counts 1 / rank, and so does a citation hit.
+    """
+    near = lambda prefix: F.max(F.when(F.col("channel").startswith(prefix), 1 / F.col("rank")).otherwise(F.lit(0.0)))
+    return h.groupBy("qid", "pid").agg(F.min("rank").alias("best_rank"), F.countDistinct(F.split("channel", ":")[0]).alias("families"), F.countDistinct("channel").alias("channels"), near("dense:").alias("s_dense"), near("cite_").alias("s_reference"))
+
+
+def l1_score(dense_weight: float = 0.0) -> Column:
+    """The linear first-level score from rrf, graph, cover, families, best_rank (from 1), s_title, s_constraint and, with a weight, s_dense."""
+    base = (
+        0.29 * (1 - F.exp(-40 * F.greatest(F.col("rrf"), F.lit(0.0))))
         + 0.19 * F.col("graph")
-        + 0.16 * cover
+        + 0.16 * F.col("cover")
         + 0.12 * (1 - F.exp(-0.8 * F.col("families")))
-        + 0.08 / (1 + 0.08 * F.coalesce(F.col("best_rank"), F.lit(50)))
-        + 0.11 * title_similarity(F.col("query"), F.col("title"))
-        + 0.05 * F.col("constraint")
+        + 0.08 / (1 + 0.08 * F.coalesce(F.col("best_rank") - 1, F.lit(50)))
+        + 0.11 * F.col("s_title")
+        + 0.05 * F.col("s_constraint")
     )
+    return base if dense_weight <= 0 else (1 - dense_weight) * base + dense_weight * F.least(F.greatest("s_dense", F.lit(0.0)), F.lit(1.0))
 
 
-def quota_cut(ranked: DataFrame, h: DataFrame, keep: int, quotas: dict[str, int], unique_quotas: dict[str, int] | None = None) -> DataFrame:
-    """Keeps `keep` rows of ranked(qid, pid, s_l1) per qid: first unique-channel quotas, then channel quotas, then the global order.
+def quota_cut(ranked: DataFrame, h: DataFrame, keep: int, quotas: dict[str, int], unique_quotas: dict[str, int] | None = None, protected: DataFrame | None = None) -> DataFrame:
+    """Keeps `keep` rows of ranked(qid, pid, s_l1) per qid, phase after phase: protected(qid, pid), items of one channel only, channel quotas, the global order.
 
-    The phases follow the order of the quota dicts, each a top-k over the rows not yet
-    taken. The result is ordered by (-s_l1, pid) in `rank`.
+    The phases follow the order of the quota dicts, each a top-k over the rows not yet taken; once `keep` rows are taken, later phases get none.
+    Quotas decide who stays, not the order: the result is ordered by (-s_l1, pid) in `rank`.
     """
-    spark_rows = ranked.select("qid", "pid", "s_l1")
-    taken = None
+    best = [F.round("s_l1", 9).desc(), F.col("pid")]
     lone = h.groupBy("qid", "pid").agg(F.countDistinct("channel").alias("n"))
-    base = spark_rows.join(lone, ["qid", "pid"], "left")
+    base = stored(ranked.select("qid", "pid", "s_l1").join(lone, ["qid", "pid"], "left"))  # every phase reads it
+    taken = None
 
-    def take(rows: DataFrame, n: Column, order: list[Column]) -> DataFrame:
-        w = Window.partitionBy("qid").orderBy(*order)
-        return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).select("qid", "pid")
+    def take(rows: DataFrame, n: int | None, order: list[Column], phase: int) -> None:
+        nonlocal taken
+        rows = rows if taken is None else rows.join(taken.select("qid", "pid"), ["qid", "pid"], "left_anti")
+        got = rows.withColumn("at", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+        got = (got if n is None else got.where(F.col("at") <= n)).select("qid", "pid", F.lit(phase).alias("phase"), "at")
+        taken = got if taken is None else taken.unionByName(got)
 
-    best = [F.round("s_l1", 9).desc(), F.col("pid")]
+    phase = 0
+    if protected is not None:
+        take(base.join(protected.select("qid", "pid").distinct(), ["qid", "pid"], "left_semi"), None, best, phase)
     for ch, n in (unique_quotas or {}).items():
-        rows = base.where("n = 1").join(h.where(F.col("channel") == ch).select("qid", "pid", "rank"), ["qid", "pid"])
-        got = take(rows, F.lit(n), [F.col("rank"), *best])
-        taken = got if taken is None else taken.unionByName(got)
+        phase += 1
+        take(base.where("n = 1").join(h.where(F.col("channel") == ch).select("qid", "pid", "rank"), ["qid", "pid"]), n, [F.col("rank"), *best], phase)
     for ch, n in quotas.items():
-        rows = base.join(h.where(F.col("channel") == ch).select("qid", "pid"), ["qid", "pid"])
-        if taken is not None:
-            rows = rows.join(taken, ["qid", "pid"], "left_anti")
-        got = take(rows, F.lit(n), best)
-        taken = got if taken is None else taken.unionByName(got)
-    flagged = base.join(taken.distinct().withColumn("quota", F.lit(1)), ["qid", "pid"], "left") if taken is not None else base.withColumn("quota", F.lit(None).cast("int"))
-    w = Window.partitionBy("qid").orderBy(F.coalesce("quota", F.lit(0)).desc(), *best)
+        phase += 1
+        take(base.join(h.where(F.col("channel") == ch).select("qid", "pid").distinct(), ["qid", "pid"]), n, best, phase)
+    flagged = base.join(taken, ["qid", "pid"], "left") if taken is not None else base.withColumns({"phase": F.lit(None).cast("int"), "at": F.lit(None).cast("int")})
+    w = Window.partitionBy("qid").orderBy(F.coalesce("phase", F.lit(phase + 1)), F.coalesce("at", F.lit(0)), *best)
     kept = flagged.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= keep)
     return kept.select("qid", "pid", "s_l1", F.row_number().over(Window.partitionBy("qid").orderBy(*best)).alias("rank"))
 
 
-def minmax(score: str) -> Column:
-    """Scaled to 0..1 within the qid; .5 where all are equal."""
+def minmax(score: str, flat: float = 0.5) -> Column:
+    """Scaled to 0..1 within the qid; `flat` where all are equal. Meant for pools after the candidate cut."""
     w = Window.partitionBy("qid")
     lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi - lo > 1e-12, (F.col(score) - lo) / (hi - lo)).otherwise(F.lit(0.5))
+    return F.when(hi - lo > 1e-12, (F.col(score) - lo) / (hi - lo)).otherwise(F.lit(flat))
 
 
-def l2_blend(scored: DataFrame, keep: int = 80, l1_weight: float = 0.0) -> DataFrame:
-    """Reranks scored(qid, pid, s_l1, s_l2) by the min-max blend of both levels and keeps the best of each qid."""
-    x = scored.withColumn("score", (1 - l1_weight) * minmax("s_l2") + l1_weight * minmax("s_l1"))
-    return top(x, keep)
+def l2_blend(scored: DataFrame, keep: int = 80, l1_weight: float = 0.0, mode: str = "linear") -> DataFrame:
+    """Reranks scored(qid, pid, s_l1, s_l2) and keeps the best of each qid; with a weight above 0, by the min-max blend of both levels, a flat side counting 0.
+
+    Modes: linear, geometric, min, max.
+    """
+    if l1_weight <= 0:
+        return top(scored.withColumn("score", F.coalesce("s_l2", F.lit(0.0))), keep)
+    x = scored.withColumns({"a": minmax("s_l2", 0.0), "b": minmax("s_l1", 0.0)})
+    a, b, w = F.col("a"), F.col("b"), min(1.0, l1_weight)
+    modes = {"linear": (1 - w) * a + w * b, "geometric": F.pow(F.greatest(a, F.lit(1e-12)), F.lit(1 - w)) * F.pow(F.greatest(b, F.lit(1e-12)), F.lit(w)), "min": F.least(a, b), "max": F.greatest(a, b)}
+    return top(x.withColumn("score", modes[mode]).drop("a", "b"), keep)
+
+
+def level_fusion(s_l1: Column, s_l2: Column, s_l3: Column, satisfaction: Column) -> Column:
+    """The fixed blend of the levels that a candidate reached, within 0..1; satisfaction is null where nothing was checked."""
+    full = 0.62 * s_l3 + 0.23 * s_l2 + 0.15 * s_l1
+    full = F.when(satisfaction.isNotNull(), 0.85 * full + 0.15 * satisfaction).otherwise(full)
+    s = F.when(s_l3.isNotNull() & s_l2.isNotNull(), full).when(s_l3.isNotNull(), 0.75 * s_l3 + 0.25 * s_l1).when(s_l2.isNotNull(), 0.70 * s_l2 + 0.30 * s_l1).otherwise(s_l1)
+    return F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0))
 
 
 def average_rank(c: str, by: str = "qid") -> Column:
@@ -133,68 +174,69 @@ def ranked(x: np.ndarray) -> np.ndarray:
     return pd.Series(x).rank(method="average").to_numpy()
 
 
+def correlations(signals: list[np.ndarray]) -> np.ndarray:
+    """Rank correlations of all pairs, 0 on the diagonal."""
+    m = np.nan_to_num(np.corrcoef(np.stack([ranked(s) for s in signals]))) if len(signals[0]) > 2 else np.zeros((len(signals),) * 2)
+    np.fill_diagonal(m, 0.0)
+    return m
+
+
 def spectral_reliability(signals: list[np.ndarray]) -> np.ndarray | None:
     """How far each signal agrees with the others: the leading eigenvector of the rank correlations; null for fewer than three."""
     if len(signals) < 3:
         return None
-    m = np.corrcoef(np.stack([ranked(s) for s in signals]))
-    m = np.nan_to_num(m)
-    np.fill_diagonal(m, 0.0)
-    v = np.linalg.eigh(m)[1][:, -1]
-    v = v if v.sum() >= 0 else -v
-    return np.maximum(v, 0.0)
+    v = np.linalg.eigh(correlations(signals))[1][:, -1]
+    return v if v.sum() >= 0 else -v
+
+
+def fusion_weights(names: list[str], signals: list[np.ndarray], prior: dict[str, float], gamma: float = 1.5) -> np.ndarray:
+    """Prior times reliability, a fiftieth of the prior at least, adding up to 1.
+
+    Reliability is linear in the leading eigenvector, relative to its largest part; below three signals it is the mean rank correlation
+    with the others to the power gamma, and 1 for a lone signal.
+    """
+    p = np.array([prior.get(n, 0.1) for n in names])
+    v = spectral_reliability(signals)
+    if v is not None:
+        r = np.maximum(v, 0.0) / v.max() if v.max() > 1e-9 else np.zeros(len(v))
+    elif len(signals) == 1:
+        r = np.ones(1)
+    else:
+        r = np.maximum(correlations(signals).sum(axis=1) / (len(signals) - 1), 0.0) ** gamma
+    w = np.maximum(p * r, 0.02 * p)
+    return w / w.sum()
 
 
 def adaptive_fuse(signals: dict[str, np.ndarray], prior: dict[str, float], gamma: float = 1.5) -> np.ndarray:
-    """Rank-scaled signals weighed by prior and reliability; missing values take the median, constant signals drop out."""
+    """Rank-scaled signals weighed by fusion_weights; missing values take the median, signals missing throughout or constant drop out; without any, all are 0."""
     n = len(next(iter(signals.values())))
     live = {}
     for k, s in signals.items():
-        s = np.where(np.isnan(s), np.nanmedian(s) if not np.isnan(s).all() else 0.0, s)
-        if s.std() >= 1e-9:
-            live[k] = s
+        if n and not np.isnan(s).all():
+            s = np.where(np.isnan(s), np.nanmedian(s), s)
+            if s.std() >= 1e-9:
+                live[k] = s
     if not live:
-        return np.full(n, 0.5)
-    p = np.array([prior.get(k, 0.05) for k in live])
-    r = spectral_reliability(list(live.values()))
-    w = p if r is None or r.max() <= 0 else np.maximum(p * (r / r.max()) ** gamma, 0.02 * p)
-    f = sum(wi * ranked(s) / n for wi, s in zip(w / w.sum(), live.values(), strict=True))
+        return np.zeros(n)
+    w = fusion_weights(list(live), list(live.values()), prior, gamma)
+    f = sum(wi * ranked(s) / n for wi, s in zip(w, live.values(), strict=True))
     return (f - f.min()) / (f.max() - f.min()) if f.max() - f.min() > 1e-12 else np.full(n, 0.5)
 
 
-def fuse_signals(rows: DataFrame, names: list[str], kind: str = "default") -> DataFrame:
-    """(qid, pid, fused) by adaptive_fuse; one pandas group per qid, meant for pools after the candidate cut."""
-    prior = PRIORS.get(kind, PRIORS["default"])
+def fuse_signals(rows: DataFrame, names: list[str], kind: str | None = None) -> DataFrame:
+    """(qid, pid, fused) by adaptive_fuse; one pandas group per qid, for pools after the candidate cut, whose size is the cut's.
+
+    The priors are those of `kind`, or of each row's own kind column.
+    """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pid")
+        prior = PRIORS.get(kind or g["kind"].iloc[0], PRIORS["default"])
         f = adaptive_fuse({n: g[n].to_numpy(dtype=float) for n in names}, prior)
         return pd.DataFrame({"qid": g["qid"].to_numpy(), "pid": g["pid"].to_numpy(), "fused": f})
 
-    return rows.select("qid", "pid", *(F.col(n).cast("double").alias(n) for n in names)).groupBy("qid").applyInPandas(one, "qid string, pid string, fused double")
-
-
-def constraint_match(docs: DataFrame, groups: list[dict]) -> DataFrame:
-    """(pid, positive, penalty, score): soft AND of OR-groups and NOT of negative ones.
-
-    groups: terms, weight and negative. A group scores the best token coverage of its terms in title, abstract and venue.
-    """
-    tokens = F.array_union(F.array_union(tokenize(F.col("title")), tokenize(F.col("abstract"))), tokenize(F.col("venue")))
-
-    def group_score(g: dict) -> Column:
-        parts = []
-        for t in g["terms"]:
-            q = F.array_distinct(tokenize(F.lit(t)))
-            parts.append(F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.col("tokens"))) / F.size(q)).otherwise(F.lit(0.0)))
-        return F.greatest(*parts) if len(parts) > 1 else parts[0]
-
-    pos, neg = [g for g in groups if not g.get("negative")], [g for g in groups if g.get("negative")]
-    x = docs.select("pid", tokens.alias("tokens"))
-    total = sum(g["weight"] for g in pos) or 1.0
-    positive = sum((g["weight"] * group_score(g) for g in pos), F.lit(0.0)) / total
-    strong = [F.when(group_score(g) >= 0.8, g["weight"] * group_score(g)).otherwise(F.lit(0.0)) for g in neg]
-    penalty = F.least(sum(strong, F.lit(0.0)), F.lit(1.0))
-    return x.select("pid", positive.alias("positive"), penalty.alias("penalty")).withColumn("score", F.col("positive") * (1 - F.col("penalty")))
+    x = rows if kind is None else rows.withColumn("kind", F.lit(kind))
+    return x.select("qid", "pid", "kind", *(F.col(n).cast("double").alias(n) for n in names)).groupBy("qid").applyInPandas(one, "qid string, pid string, fused double")
 
 
 def evidence_holds(evidence: Column, title: Column, abstract: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,11 +38,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir of the session).
 
-    Only where a session has none, as in local tests, a temporary folder is set.
+    Only a local session without one, as in tests, gets a temporary folder; on a cluster its absence is an error,
+    since a machine-local folder would not outlive its machine.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexiloom-"))
+        where = sc.getConf().get("spark.checkpoint.dir")
+        if not where and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="lexiloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -55,17 +60,26 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut lineage by a compressed table in the shared folder; smaller than a checkpoint and read by column."""
     where = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(where)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
-def heavy_keys(counts: DataFrame, key: str, n: str, least: int, most: int = 256) -> list:
-    """Keys with at least `least` rows, the `most` heaviest at most, from a pre-aggregated (key, n) table.
+def clear_stored(spark: SparkSession) -> int:
+    """Delete the tables that stored() wrote for this application, once their results are no longer read; how many there were."""
+    where = _written.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for w in where:
+        path = jvm.org.apache.hadoop.fs.Path(w)
+        path.getFileSystem(conf).delete(path, True)
+    return len(where)
 
-    The list is bounded by `most`; keys beyond it are no loss, since callers send every
-    other key through a shuffle join.
+
+def heavy_keys(counts: DataFrame, key: str, n: str, least: int) -> list:
+    """Every key with at least `least` rows of a pre-aggregated (key, n) table.
+
+    There are at most rows / least of them, so that no hot key is left out and the list stays small for the thresholds used.
     """
-    top = counts.where((F.col(n) >= least) & F.col(key).isNotNull()).orderBy(F.desc(n), key).limit(most)
-    return [r[0] for r in top.select(key).collect()]
+    return [r[0] for r in counts.where((F.col(n) >= least) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: list, how: str = "left") -> DataFrame:

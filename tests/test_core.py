@@ -51,6 +51,8 @@ def test_orphans(spark):
     for heavy in (1, 10**6):
         got = orphans.orphan_references(r, known, gone, heavy_rows=heavy)
         assert sorted(x["src_id"] for x in got.collect()) == [1, 5, 6, 9, 11]
+        months = {r["month"]: r["n"] for r in got.groupBy("month").agg(F.count("*").alias("n")).collect()}
+        assert {r["month"]: r["orphans"] for r in orphans.orphan_counts(r, known, gone, heavy_rows=heavy).collect()} == months
     assert orphans.orphan_references(r.limit(0), known, gone).count() == 0
     assert orphans.orphan_references(r, known.limit(0), gone).count() == 9
 
@@ -102,7 +104,7 @@ def test_adaptive_fusion_distrusts_noise():
     s = {"a": truth + rng.normal(0, 0.1, 250), "b": truth + rng.normal(0, 0.1, 250), "c": truth + rng.normal(0, 0.2, 250), "noise": rng.random(250)}
     fused = ranks.adaptive_fuse(s, dict.fromkeys(s, 0.25))
     assert np.corrcoef(fused, truth)[0, 1] > 0.93
-    assert (ranks.adaptive_fuse({"a": np.ones(5)}, {}) == 0.5).all()
+    assert (ranks.adaptive_fuse({"a": np.ones(5)}, {}) == 0).all()
     assert np.isfinite(ranks.adaptive_fuse({"a": np.array([np.nan, 1, 2, 3]), "b": np.arange(4.0)}, {})).all()
 
 
@@ -134,7 +136,7 @@ def test_gates_use_400_draws(spark, monkeypatch):
     monkeypatch.setattr(queries, "_hits", lambda spark, d: hits(spark))
     monkeypatch.setattr(queries, "_prior", lambda spark, d: spark.createDataFrame([("q", 12.0)], "qid string, prior double"))
     assert queries.QUERIES["f1_gate_draws"](spark, "").count() == 1
-    p = spark.createDataFrame([(i, f"p{i}", f"dense retrieval number {i}", "", 2020, 5, "article", [], []) for i in range(4)], "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>")
+    p = spark.createDataFrame([(i, f"p{i}", f"dense retrieval number {i}", "", 2020, 5, "article", [], [], "", []) for i in range(4)], PAPERS)
     c = spark.createDataFrame([("q", f"p{i}", {"lexical:bm25": i + 1}) for i in range(4)], "qid string, pid string, channel_ranks map<string,int>")
     assert engine.run(spark.createDataFrame([("q", "dense retrieval")], "qid string, query string"), p, c, use_graph=False).count() == 4
     assert [x.where("qid = 'q'").count() for x in used] == [400, 400]
@@ -143,7 +145,7 @@ def test_gates_use_400_draws(spark, monkeypatch):
 def test_calibrators_keep_order_and_mass():
     rng = np.random.default_rng(1)
     s = rng.random(200)
-    for p in (calibrate.rank_decay(s, 12.0), calibrate.anchored(s, 12.0), calibrate.tail_temper(s, 12.0)):
+    for p in (calibrate.anchored(s, 12.0), calibrate.tail_temper(s, 12.0)):
         assert p.sum() == pytest.approx(12.0, abs=0.05)
         assert (np.diff(p[np.argsort(s)]) >= -1e-12).all()
     two = np.clip(np.concatenate([rng.normal(0.8, 0.05, 30), rng.normal(0.3, 0.05, 270)]), 0, 1)
@@ -153,6 +155,71 @@ def test_calibrators_keep_order_and_mass():
     assert (np.diff(calibrate.pool_adjacent(s, (rng.random(200) < s).astype(float))[1]) >= 0).all()
 
 
+def test_rank_decay(spark):
+    s = spark.createDataFrame([("q", f"p{i:02d}", float(-i)) for i in range(40)] + [("r", "x", 1.0)], "qid string, pid string, score double")
+    rows = calibrate.rank_decay(s, spark.createDataFrame([("q", 12.0), ("r", 12.0)], "qid string, mass double")).orderBy("qid", "pid").collect()
+    q = [r["p"] for r in rows if r["qid"] == "q"]
+    assert sum(q) == pytest.approx(12, abs=1e-6) and q == sorted(q, reverse=True)
+    # one row: b stays below four times the rows
+    assert [r["p"] for r in rows if r["qid"] == "r"] == pytest.approx([0.95 / (1 + 0.25**1.6)])
+
+
+def test_values_worked_by_hand(spark):
+    c = lambda *r: spark.createDataFrame([("q", *r)], "qid string, d double, f1 double, f2 double")
+    var = lambda *r: coverage.chao1(c(*r)).first()["variance"]
+    assert var(5.0, 2.0, 1.0) == pytest.approx(2 + 8 + 4)
+    assert var(5.0, 2.0, 0.0) == pytest.approx(0.25 * 9 + 1) and var(5.0, 1.0, 0.0) == 5
+    h = spark.createDataFrame([("q", "a", "x:1", 1), ("q", "a", "y:1", 1), ("q", "b", "x:1", 2)], "qid string, pid string, channel string, rank int")
+    prior = spark.createDataFrame([("q", 9.0)], "qid string, prior double")
+    assert coverage.mass_anchor(h, prior).first()["mass"] == pytest.approx(9) and coverage.mass_anchor(h, prior, 0.5).first()["mass"] == pytest.approx(3)
+    assert one(spark, text.query_year, "since 2015, not 2012", "papers of the last 3 years", "von 自2019", "20201") == [2015, 2023, 2019, 2020]
+    assert one(spark, text.query_type, "Which paper is a survey", "overview of graphs", "follow-up of x", "数据集", "x") == ["locate", "survey", "lineage", "benchmark", "method_cross"]
+    assert one(spark, text.quoted_spans, 'find "deep nets" or graph neural network models') == [["or graph neural network models", "deep nets"]]
+    assert text.VENUES[-1] == "TMLR" and "INTERSPEECH" in text.VENUES and len(text.VENUES) == 23
+    assert one(spark, lambda c: text.words(c, text.STOP), "Ｇｒａｐｈ related work need") == [["graph"]]
+    w = ranks.fusion_weights(["l3", "other"], [np.arange(5.0), np.arange(5.0)], {"l3": 0.42})
+    assert w == pytest.approx([0.42 / 0.52, 0.1 / 0.52])
+    assert gate.monte_carlo_f1([1.0, 1.0], [2.0]) == 1.0 and gate.monte_carlo_f1([], [2.0]) == 0
+
+
+def test_constraints(spark):
+    from lexiloom.operators import constraints as k
+
+    con = lambda text, role="verify", kind="other", w=1.0, aliases=(), values=(): {"kind": kind, "role": role, "text": text, "values": list(values), "weight": w, "aliases": list(aliases)}
+    merged = k.merge_constraints([con("graph networks", w=0.3), con("graphs network", w=0.8, aliases=["GNN"]), con("graph networks", role="anchor")])
+    assert [(c["role"], c["weight"]) for c in merged] == [("verify", 0.8), ("anchor", 1.0)] and merged[0]["aliases"] == ["GNN"]
+    assert k.distinct_terms(["graph", "graph networks", "Graph Networks", "lens"]) == ["graph networks", "lens"]
+    assert k.grouped([con("of the"), con("x1", w=0.0)])[0] == {"gid": "g2", "role": "verify", "kind": "other", "terms": ["x1"], "weight": 0.05, "required": False}
+    q = spark.createDataFrame([("q", "papers since 2015 at ICML on dense retrieval, not a survey"), ("e", None), ("z", "综述")], "qid string, query string")
+    p = {r["qid"]: r for r in k.plans(q).collect()}
+    assert p["q"]["year_min"] == 2015 and p["q"]["no_reviews"] and {g["role"] for g in p["q"]["groups"]} == {"hard_filter", "negative", "anchor", "verify"}
+    assert p["e"]["search_strings"] == ["_empty_query_"] and p["e"]["groups"] == [] and p["z"]["kind"] == "survey"
+    docs = spark.createDataFrame([("a", "dense retrieval", "a survey", "ICML", ["x"]), ("b", None, None, None, None)], "pid string, title string, abstract string, venue string, fields array<string>")
+    groups = spark.createDataFrame([("q", [("g1", "anchor", "topic", ["dense retrieval", "x"], 1.0, True), ("g2", "verify", "other", ["graphs"], 1.0, False), ("g3", "negative", "doc_type", ["survey"], 0.5, False)])], k.T.StructType([k.T.StructField("qid", k.T.StringType()), k.T.StructField("groups", k.T.ArrayType(k.GROUP))]))
+    got = {r["pid"]: (r["positive"], r["penalty"], r["score"]) for r in k.match(docs.select(F.lit("q").alias("qid"), "pid"), docs, groups).collect()}
+    assert got == {"a": (0.5, 0.5, 0.25), "b": (0.0, 0.0, 0.0)}
+    loose = spark.sql("select struct(' YEAR ' as kind, 'what' as role, null as text, null as values, null as weight, null as aliases) as c")
+    assert loose.select(k.from_fields(F.col("c")).alias("c")).first()["c"].asDict() == {"kind": "year", "role": "verify", "text": "", "values": [], "weight": 1.0, "aliases": []}
+
+
+def test_control(spark):
+    from lexiloom.plans import control as c
+
+    rows = spark.createDataFrame([("q", "a", 0.3, 0.16, 0.3, 10.0, False, False), ("q", "b", 0.5, 0.16, 0.3, 10.0, False, False), ("q", "c", 0.9, 0.16, 0.3, 10.0, False, True), ("q", "d", 0.5, 0.16, 0.3, 10.0, True, False)], "qid string, pid string, p double, sigma double, threshold double, n double, judged boolean, referenced boolean")
+    order = lambda policy: [r["pid"] for r in c.judge_order(rows, policy, 2).orderBy("place").collect()]
+    assert order("always") == ["b", "c"] and order("reference_first") == ["c", "b"] and order("disabled") == [] and order("adaptive") == []or order("adaptive") == ["b", "c"]
+    checks = spark.createDataFrame([("q", "a", 2.0, "yes", True), ("q", "a", 2.0, "yes", False), ("q", "b", None, "no", None)], "qid string, pid string, relevance double, status string, holds boolean")
+    assert {r["pid"]: r["s_l3"] for r in c.verified(checks).collect()} == pytest.approx({"a": 1 - 0.35 / 2, "b": 0.5})
+    pool = spark.createDataFrame([("q", "a"), ("q", "b"), ("q", "c")], "qid string, pid string")
+    assert {r["pid"]: r["drop_reason"] for r in c.audit(pool, {"l0": pool.where("pid <> 'c'"), "gate": pool.where("pid = 'a'")}).collect()} == {"a": None, "b": "gate", "c": "l0"}
+    with pytest.raises(Exception, match="no score"):
+        c.precomputed(pool.withColumn("query", F.lit("x")), spark.createDataFrame([], "query_sha256 string, pid string, score double")).collect()
+    with pytest.raises(ValueError, match="positive"):
+        c.dense_admission(hits(spark), pool, 0, 1)
+    with pytest.raises(ValueError, match="unknown"):
+        graph.pick_seeds(pool, "anchor")
+
+
 def test_metrics(spark):
     pred = spark.createDataFrame([("q", x) for x in "abca"], "qid string, pid string")
     gold = spark.createDataFrame([("q", x) for x in "bcd"] + [("r", "z")], "qid string, pid string")
@@ -216,19 +283,25 @@ def test_pagerank_24_rounds(spark, monkeypatch):
     assert seen.get("rounds", 24) == 24
 
 
+PAPERS = "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>, venue string, fields array<string>"
+
+
 def test_engine_expands_citations(spark):
-    rows = [(i, f"p{i}", f"dense retrieval paper number {i}", "dense retrieval", 2020, 5, "article", ["far"] if i == 0 else [], []) for i in range(4)]
-    rows += [(10, "far", "a paper that only citations reach", "", 2020, 5, "article", [], []), (11, "none", "a paper that nothing reaches", "", 2020, 5, "article", [], [])]
-    p = spark.createDataFrame(rows, "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>")
+    rows = [(i, f"p{i}", f"dense retrieval paper number {i}", "dense retrieval", 2020, 5, "article", ["far"] if i == 0 else [], [], "", []) for i in range(4)]
+    rows += [(10, "far", "a paper that only citations reach", "", 2020, 5, "article", [], [], "", []), (11, "none", "something that nothing reaches", "", 2020, 5, "article", [], [], "", [])]
+    p = spark.createDataFrame(rows, PAPERS)
     q = spark.createDataFrame([("q", "dense retrieval")], "qid string, query string")
     c = spark.createDataFrame([("q", f"p{i}", {"lexical:bm25": i + 1, "dense:views": i + 1}) for i in range(4)], "qid string, pid string, channel_ranks map<string,int>")
-    assert {r["pid"] for r in engine.run(q, p, c, pagerank_rounds=2).collect()} == {"p0", "p1", "p2", "p3", "far"}
+    ledger = engine.Ledger()
+    assert {r["pid"] for r in engine.run(q, p, c, pagerank_rounds=1, rounds=2, ledger=ledger).collect()} == {"p0", "p1", "p2", "p3", "far"}
+    assert 1 <= ledger.counts["rounds"] <= 2 and ledger.events[-1][0] == "stop"
+    assert engine.run(q.limit(0), p, c, pagerank_rounds=1).count() == 0
 
 
 def test_entities(spark):
     rows = [(1, "10.1/A", "", "T one", None, None, "s2"), (2, " 10.1/a", "", "T one", "long text", 2020, "arxiv"), (3, "", "1.2v1", "x", "", None, "s2"), (4, None, "1.2V3", "y", "abc", 1999, None), (5, "", "", None, None, None, None)]
     p = spark.createDataFrame(rows, "rec_id long, doi string, arxiv_id string, title string, abstract string, year int, source string")
-    p = p.withColumns({"venue": F.lit(""), "url": F.lit(None).cast("string"), "citation_count": F.col("rec_id").cast("int"), "retrieval_score": F.lit(0.5), "doc_type": F.lit("article"), "authors": F.array(F.lit("a")), "reference_ids": F.array().cast("array<string>")})
+    p = p.withColumns({"venue": F.lit(""), "url": F.lit(None).cast("string"), "citation_count": F.col("rec_id").cast("int"), "retrieval_score": F.lit(0.5), "doc_type": F.lit("article"), "authors": F.array(F.lit("a")), "reference_ids": F.array().cast("array<string>"), "citing_ids": F.array().cast("array<string>")})
     m = {r["rec_id"]: r for r in entities.merge_exact(p).collect()}
     assert m[1]["abstract"] == "long text" and m[1]["year"] == 2020 and m[1]["source"] == "arxiv+s2" and m[1]["copies"] == 2 and m[1]["citation_count"] == 2
 
