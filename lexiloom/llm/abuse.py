@@ -41,28 +41,12 @@ STEMS = {
     they them those their kind diese ces estos estas esos sind sont son""",
     "you": """you your youre yours yourself u ur du dich dir dein deine deiner euch ihr tu te toi ton ta tes vous votre vos eres tus ti usted vosotros 你 您 listen shut get
     go do crawl drop quit halt zieh ferme callate ven viens send bend rub swallow""",
-    "context": """quote quotes quoted quotation lexicon dictionary word words term masked rater raters annotator annotators archive archived archives warning warnings
-    teaching caricature caricatures historical historically questionnaire clinical participants patients registry registries cancer species mole rodent pesticide tissue survey
-    corpus classifier classifiers moderation detector dataset detection policy policies epidemiology reviewed study studied studies research deposit materials severity
-    prevention awareness harassment guideline ethics contraceptive sampled trapped measured rated annotated labelled adjustment differences clocks node timeout typo terminal""",
+    "context": """quote quotes quoted quotation lexicon dictionary word words term terms masked rater raters annotator annotators archive archives warning historical
+    historically questionnaire clinical medical participants patients tissue survey corpus classifier classifiers moderation detector dataset detection policy policies
+    epidemiology study studied studies research prevention awareness harassment guideline ethics contraceptive measured annotated labelled""",
     "self": """my mine myself i me sorry apologies oops moi mich mein mir yo mi meine feel""",
 }
 KINDS = list(STEMS)
-# Turns of phrase that abuse, threaten, degrade or solicit without a single telling word.
-PHRASES = (
-    r"\bdrop dead\b|\bhow can (one|a single) (person|human) be so\b|\bdrown (the|all|them)\b|\bgehoren (raus|weg|ins|auf)|\bnobody would miss you|\b(no one|nobody) (will|would) (miss|mourn|cry for) you|\bdo (us|everyone|the world) (all )?(the|a) favou?r|\bstop breathing\b|\bwaste of (oxygen|space|air|skin)"
-    r"|\bdropped on your head\b|\b(know|found out) (where|which)( \w+)? you (live|sit|sleep|work|park)|\bwatch your back\b|\b(beat|kill|find|hurt|break|cut|shoot|burn|get|make|hunt) you\b|\bbreak your (\w+ )?(fingers|neck|legs|arms|bones|face|skull|jaw)"
-    r"|\bshut up\b|\bget lost\b|\bcrawl back\b|\bgo (to hell|die|hang yourself|kill yourself)|\bkill yourself\b|\bhope you (die|lose|rot|suffer|get|choke)|\bwhere the sun (never|does)|\bevery time you open your mouth\b|\b(quit|rot|burn) and (rot|die)\b"
-    r"|\bquit,? you\b|\bpeople like you\b|\bnobody (asked|wants|likes|needs) (for )?your?\b|\bmake me want to vomit|\btake a bullet\b|\bshould be (shot|hanged|gassed|beaten|whipped|locked|put down)|\bdog writes better\b|\bkept away from sharp"
-    r"|\bback where they came from|\b(world|field|country|place|nation) (would|will) be (cleaner|better|safer) without\b|\bonly good for (breeding|cleaning|cooking)|\bbe allowed to (breed|vote|live)|\bborn (liars|thieves|criminals|stupid)"
-    r"|\b(lack|lacks) the brain\b|\bin their blood\b|\bkeep your (\w+ ){0,4}out of (our|my|this)|\bnever be let into\b|\bproud (field|nation|people|country) before\b|\bcrawled in\b|\bstarts? to stink\b|\bsmell like\b|\bban (all |the )?[\w ]+ from\b"
-    r"|\bwould not (hire|trust|employ) (a |any )?[\w ]+;? they are|\bcan tell the authors? (is|are)\b|\bmarrying into\b|\bin the (lake|river|sea), problem solved|\bruin every\b|\bof course it fails, an? \w+ from\b|\bbunch of (disgusting|stupid|useless|\w+s\b)"
-    r"|\bbend over\b|\b(touch|touching) (myself|yourself|you)\b|\b(made|make|makes|makes) me (wet|hard|horny|scream|come)\b|\bcome to my (room|place|bed)|\brub one out\b|\bswallow it\b|\bsend nudes?\b|\bjust sex\b|\bspread (her|his|your) legs"
-    r"|\bbegged for more\b|\bin (her|his|your) mouth\b|\b(went|go|going) down on (her|him|me|you)|\bslid inside\b|\b(her|his|your) (lips|thighs|ass|cock|tits)\b|\bwould bang\b|\bwant to (strip|fuck|bang|ride|lick) you|\ball night\b.*\b(you|us)\b|\bhard for you\b|\bused panties\b"
-    r"|\b(halt|halts) (\w+ )?(die )?(fresse|maul|schnauze)|\bverpiss dich\b|\bzieh dich aus\b|\bnichts verloren\b|\baufs maul\b|\bferme ta\b|\bcreve\b|\bta gueule\b|\bte regrettera|\bpas de cerveau\b|\bqu on les chasse|\bvais te\b|\bmeriteriez des coups"
-    r"|\bojala te\b|\bte mueras\b|\bromper la cara|\bcallate\b|\bte echara de menos|\bhijo de\b|\bven desnud|\becharlos\b|\bpedazo de\b|\bpara que te\b|\bsexo en vivo|\bvideos? de sexe?o?\b|\bporn\w*\b"
-)
-PHRASE = re.compile(PHRASES)
 # Letters of other scripts that pass for Latin ones.
 LOOKALIKE = str.maketrans("аеорсухівкмнтѕјԁɡһӏԛԝοαερικνυχ", "aeopcyxibkmhtsjdghlqwoaepiknux")
 SHORT = 4  # stems up to this length are whole words
@@ -166,74 +150,103 @@ def words_of(sentence: str) -> tuple[list[str], int]:
     return out, n
 
 
-BASE = [*KINDS, "phrase", "disguised", "quoted", "capitals", "exclaims", "length", "rule", "near", "learned", "learned_mean"]
-NAMES = [f"max_{b}" for b in BASE] + ["sum_bad", "sum_learned", "sentences", "top_share", "invisible", "second"]
+#: What may hide a word: anything but plain words calls for words_of.
+ODD = re.compile(
+    r"[​-‏⁠﻿­͏᠎]|[^\W\d_][*#@$%]|[*#@$%][^\W\d_]|[*#]{3,}|([^\W\d_])\1{2,}|[^\W\d_]\d+[^\W\d_]|(?<!\w)\d[^\W\d_]{2,}"
+    r"|[^\W\d_][._·][^\W\d_]|(?<!\w)[^\W\d_]{1,3}-[^\W\d_]{1,3}(?!\w)|(?<!\w)[^\W\d_][ .\-_*][^\W\d_](?!\w)"
+)
+#: A cheap test that every sentence with such a sign passes.
+HINT = re.compile(r"[​-‏⁠﻿­͏᠎*#@$%]|\d[^\W\d_]|[a-zA-Z](?:[._·]|-[a-zA-Z]{1,3}\b)|\b\w[ .\-_*]\w\b|([a-z])\1\1")
+NOT_LATIN = re.compile(r"[α-ωа-ӿԀ-ԯ一-鿿]")
+PLAIN = re.compile(r"[^\W_]+")
+
+BASE = [*KINDS, "disguised", "quoted", "capitals", "exclaims", "length", "near", "insult_near", "learned", "learned_mean"]
+NAMES = [f"max_{b}" for b in BASE] + ["bad_density", "bad_near_context", "sum_learned", "sentences", "top_share", "invisible", "second"]
+YOU, INSULT, CONTEXT = (1 << KINDS.index(k) for k in ("you", "insult", "context"))
+BITS: dict[int, list[int]] = {}
+
+
+class Lexicon:
+    """Learned log-odds of words and pairs of words; pairs are looked up only where a pair begins so."""
+
+    def __init__(self, odds: dict[str, float]) -> None:
+        self.odds = odds
+        self.first = frozenset(g.split(" ", 1)[0] for g in odds if " " in g)
+        self.single = frozenset(g for g in odds if " " not in g)
+
+    def of(self, words: list[str]) -> list[float]:
+        """The odds of the distinct words and pairs of a sentence, each 3 at most."""
+        found = self.single.intersection(words)
+        if not self.first.isdisjoint(words):
+            found = found | {g for a, b in zip(words, words[1:], strict=False) if a in self.first and (g := f"{a} {b}") in self.odds}
+        return [min(self.odds[g], 3.0) for g in found]
+
 
+def read(sentence: str) -> tuple[list[str], int]:
+    """The plain words of a sentence and how many were disguised; sentences without any odd sign take the short way."""
+    if HINT.search(sentence) and ODD.search(sentence) or not sentence.isascii() and NOT_LATIN.search(sentence):
+        return words_of(sentence)
+    return PLAIN.findall(fold(sentence)), 0
 
-def sentence_features(sentence: str, learned: dict[str, float]) -> list[float]:
-    words, disguised = words_of(sentence)
+
+def _bits(b: int) -> list[int]:
+    if b not in BITS:
+        BITS[b] = [k for k in range(len(KINDS)) if b >> k & 1]
+    return BITS[b]
+
+
+def sentence_features(sentence: str, learned: Lexicon) -> tuple[list[float], int, int]:
+    """The features of a sentence, its telling words, and those of them with a word of context beside."""
+    words, disguised = read(sentence)
     counts = [0] * len(KINDS)
-    you, bad = [], []
+    you: list[int] = []
+    bad: list[int] = []
+    insults: list[int] = []
     for i, w in enumerate(words):
         bits = kinds_of(w)
         if bits:
-            for k in range(len(KINDS)):
-                if bits >> k & 1:
-                    counts[k] += 1
-            if bits & 1 << KINDS.index("you"):
+            for k in _bits(bits):
+                counts[k] += 1
+            if bits & YOU:
                 you.append(i)
             if bits & BAD:
                 bad.append(i)
-    near = max((1 / (1 + min(abs(i - j) for j in you)) for i in bad), default=0.0) if you else 0.0
-    c = dict(zip(KINDS, counts, strict=True))
-    quoted = len(QUOTED.findall(sentence))
-    letters = [x for x in sentence if x.isalpha()]
-    capitals = sum(x.isupper() for x in letters) / max(1, len(letters))
+            if bits & INSULT:
+                insults.append(i)
+    close = lambda xs: max((1 / (1 + min(abs(i - j) for j in you)) for i in xs), default=0.0) if you else 0.0
+    quoted = len(QUOTED.findall(sentence)) if '"' in sentence or not sentence.isascii() else 0
+    upper = sum(map(str.isupper, sentence)) / max(1, len(sentence))
     n = max(1, len(words))
-    phrase = max(len(PHRASE.findall(" ".join(words))), len(PHRASE.findall(fold(sentence))))
-    you_too = c["you"] > 0
-    rule = (
-        3.0 * min(2, phrase)
-        + min(2, c["insult"]) * (2.2 + you_too)
-        + min(2, c["slight"]) * (0.4 + 0.8 * you_too + 0.8 * (c["insult"] > 0))
-        + min(2, c["profanity"]) * (0.4 + 0.8 * you_too + 1.2 * (c["insult"] > 0))
-        + 0.8 * min(2, c["threat"]) * you_too
-        + min(3, c["sexual"]) * (0.6 + 0.5 * (you_too or c["spam"] > 0))
-        + 0.8 * min(3, c["spam"]) * (c["sexual"] > 0)
-        + 1.0 * min(3, c["hate"]) * (c["group"] > 0)
-        + 1.2 * min(2, disguised) * (sum(counts[k] for k in range(len(KINDS)) if BAD >> k & 1) > 0)
-        - 2.5 * c["context"]
-        - 2.0 * quoted
-        - 1.2 * min(3, c["self"]) * (not you_too)
-    )
-    grams = set(words) | {a + " " + b for a, b in zip(words, words[1:], strict=False)}
-    odds = sorted((min(learned[g], 3.0) for g in grams if g in learned), reverse=True)[:4]  # bounded, so that a cross-fitted and a full lexicon read alike
-    return [*counts, phrase, disguised, quoted, capitals, sentence.count("!"), math.log(n), rule, near, sum(odds), min(sum(odds) / math.sqrt(n), 3.0)]
-
-
-def features(text: str, learned: dict[str, float]) -> list[float]:
-    """Dense features of a whole text: the maximum of each sentence feature, sums over sentences and of the two worst sentences."""
-    parts = [p for p in SENTENCE.split(text) if p and not p.isspace()]
-    rows = np.array([sentence_features(p, learned) for p in parts] or [[0.0] * len(BASE)])
-    rule, odds = rows[:, BASE.index("rule")], rows[:, BASE.index("learned")]
-    bad = np.maximum(rule, 0)
-    order = np.sort(rule + odds)
-    return [*rows.max(axis=0).tolist(), float(bad.sum()), min(float(np.maximum(odds, 0).sum()), 24.0), math.log(len(rows)), float(bad.max() / (bad.sum() + 1)), float(len(IN_WORD.findall(text)) / (len(text) + 1)), float(order[-2] if len(order) > 1 else 0.0)]
+    odds = learned.of(words)
+    total = sum(odds)
+    row = [*counts, disguised, quoted, upper, sentence.count("!"), math.log(n), close(bad), close(insults), 1 - math.exp(-total / 6), min(total / math.sqrt(n), 3.0)]
+    return row, len(bad), len(bad) if counts[KINDS.index("context")] else 0
+
+
+def features(text: str, learned: Lexicon) -> list[float]:
+    """Dense features of a whole text: the maximum of each sentence feature, densities over all words and of the two worst sentences."""
+    got = [sentence_features(p, learned) for p in SENTENCE.split(text) if p and not p.isspace()] or [([0.0] * len(BASE), 0, 0)]
+    rows = np.array([r for r, _, _ in got])
+    bad, beside = np.array([b for _, b, _ in got], dtype=float), sum(c for _, _, c in got)
+    odds = rows[:, BASE.index("learned")]
+    words = np.exp(rows[:, BASE.index("length")]).sum()
+    order = np.sort(bad / 4 + odds)
+    return [*rows.max(axis=0).tolist(), float(bad.sum() / words), beside / (bad.sum() + 1), float(odds.sum() / (1 + odds.sum())), math.log(len(rows)), float(bad.max() / (bad.sum() + 1)), float(len(IN_WORD.findall(text)) / (len(text) + 1)) if not text.isascii() else 0.0, float(order[-2] if len(order) > 1 else 0.0)]
 
 
 def grams_of(text: str) -> set[str]:
     out: set[str] = set()
     for p in SENTENCE.split(text):
-        words, _ = words_of(p)
+        words, _ = read(p)
         out.update(words)
-        out.update(a + " " + b for a, b in zip(words, words[1:], strict=False))
+        out.update(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
     return out
 
 
 class Trees:
     """Gradient-boosted regression trees on the logistic loss, over quantile bins; targets may be between 0 and 1."""
 
-    def __init__(self, trees: int = 50, depth: int = 3, rate: float = 0.1, bins: int = 32, least: float = 12.0, ridge: float = 5.0) -> None:
+    def __init__(self, trees: int = 80, depth: int = 4, rate: float = 0.1, bins: int = 32, least: float = 12.0, ridge: float = 5.0) -> None:
         self.n, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -310,37 +323,36 @@ FOLDS = 5
 LABELS_FOR_FIT = 40
 
 
-def base_margin(x: np.ndarray) -> np.ndarray:
-    """Where boosting begins: the rule of the worst sentence as log-odds."""
-    return np.clip(1.6 * x[:, NAMES.index("max_rule")] - 3.2, -4, 4)
+def unlearned(x: np.ndarray) -> np.ndarray:
+    """The log-odds where no labels can teach: telling words next to the reader."""
+    bad = sum(x[:, NAMES.index(f"max_{k}")] for k in ("insult", "threat", "sexual", "hate", "profanity"))
+    return np.clip(1.5 * bad * (0.5 + x[:, NAMES.index("max_near")]) - 3.5, -6, 6)
 
 
 class Model:
-    """What fit() learned; small, sent to the workers with the scoring function."""
+    """What fit() learned; small, sent to the workers with the scoring function. Boosting begins at the share of positives among the labels."""
+
+    def __init__(self, learned: Lexicon, trees: Trees | None, share: float, knots: tuple[np.ndarray, np.ndarray] | None) -> None:
+        self.learned, self.trees, self.share, self.knots = learned, trees, share, knots
 
-    def __init__(self, learned: dict[str, float], trees: Trees | None, knots: tuple[np.ndarray, np.ndarray] | None) -> None:
-        self.learned, self.trees, self.knots = learned, trees, knots
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return unlearned(x) if self.trees is None else math.log(self.share / (1 - self.share)) + self.trees.margin(x)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        m = base_margin(x)
-        if self.trees is not None:
-            m = m + self.trees.margin(x)
+    def calibrated(self, m: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-m))
-        if self.knots is not None:
-            p = 0.98 * np.interp(m, *self.knots) + 0.02 * p
-        return p
+        return p if self.knots is None else 0.98 * np.interp(m, *self.knots) + 0.02 * p
 
 
 def log_odds(pos: float, neg: float, all_pos: float, all_neg: float) -> float:
     return math.log((pos + 0.5) / (all_pos + 1)) - math.log((neg + 0.5) / (all_neg + 1))
 
 
-def learn(documents: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon: int = 20_000) -> Model:
-    """Fit on at most `sample` labelled documents, in hash order; of their words and pairs of words at most `lexicon` are kept.
+def learn(documents: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
+    """Fit on at most `sample` labelled documents, in hash order, which also bounds the learned lexicon.
 
     A document's target is the mean of its raters; null labels do not count. The learned
     lexicon is cross-fitted: a labelled document never sees odds that its own label made.
-    With fewer than LABELS_FOR_FIT labelled documents, or one class only, the rule alone scores.
+    With fewer than LABELS_FOR_FIT labelled documents, or one class only, telling words next to the reader decide.
     """
     target = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = documents.where("text is not null and trim(text) <> ''").select("doc_id", "text").join(F.broadcast(target), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
@@ -359,9 +371,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon
     grams = per_fold.groupBy("gram").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.collect_list(F.struct("fold", "pos", "neg")).alias("by"))
     totals = grams.where("gram = ''").collect()
     if not totals:
-        return Model({}, None, None)
+        return Model(Lexicon({}), None, 0.5, None)
     all_pos, all_neg = totals[0]["p"], totals[0]["n"]
-    kept = grams.where((F.col("gram") != "") & (F.col("p") >= 2.5) & (F.col("p") / max(1.0, all_pos) > 20 * F.col("n") / max(1.0, all_neg))).orderBy(F.desc("p"), "gram").limit(lexicon).collect()
+    kept = grams.where((F.col("gram") != "") & (F.col("p") >= 2.5) & (F.col("p") / max(1.0, all_pos) > 20 * F.col("n") / max(1.0, all_neg))).collect()
     full = {r["gram"]: log_odds(r["p"], r["n"], all_pos, all_neg) for r in kept}
     by_fold: list[dict[str, float]] = [{} for _ in range(FOLDS)]
     fold_all = {x["fold"]: x for x in totals[0]["by"]}
@@ -374,21 +386,24 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 20_000, lexicon
                 ap, an = (all_pos - fold_all[f]["pos"], all_neg - fold_all[f]["neg"]) if f in fold_all else (all_pos, all_neg)
                 by_fold[f][r["gram"]] = log_odds(p, n, ap, an)
 
+    by = [Lexicon(b) for b in by_fold]
+
     def table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [features(t, by_fold[f]) for t, f in zip(b["text"], b["fold"], strict=True)]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [features(t, by[f]) for t, f in zip(b["text"], b["fold"], strict=True)]})
 
     got = rows.mapInPandas(table, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).toPandas().sort_values("doc_id")
     y = got["y"].to_numpy()
     if len(y) < LABELS_FOR_FIT or y.max() < 0.5 or y.min() >= 0.5:
-        return Model(full, None, None)
+        return Model(Lexicon(full), None, 0.5, None)
     x = np.array(got["x"].tolist())
-    base, part = base_margin(x), np.arange(len(y)) % 3
+    start = math.log(y.mean() / (1 - y.mean()))
+    base, part = np.full(len(y), start), np.arange(len(y)) % 3
     held = np.zeros(len(y))
     for k in range(3):
         inside = part != k
-        held[~inside] = base[~inside] + Trees().fit(x[inside], y[inside], base[inside]).margin(x[~inside])
-    return Model(full, Trees().fit(x, y, base), isotonic(held, y))
+        held[~inside] = start + Trees().fit(x[inside], y[inside], base[inside]).margin(x[~inside])
+    return Model(Lexicon(full), Trees().fit(x, y, base), float(y.mean()), isotonic(held, y))
 
 
 def scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -397,10 +412,10 @@ def scores(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def scored(text: pd.Series) -> pd.Series:
-        blank = text.isna() | (text.str.strip() == "")
+        blank = (text.isna() | (text.str.strip() == "")).to_numpy()
         out = np.zeros(len(text))
         if (~blank).any():
-            out[~blank.to_numpy()] = model.score(np.array([features(t, model.learned) for t in text[~blank]]))
+            out[~blank] = model.calibrated(model.margin(np.array([features(t, model.learned) for t in text[~blank]])))
         return pd.Series(out)
 
     return documents.select("doc_id", scored("text").alias("score"))

@@ -331,25 +331,38 @@ def test_p10_words():
         assert n and any(abuse.kinds_of(w) & 1 for w in words), x
 
 
-def test_p10_trees_decide_without_rule():
+def test_p10_trees_decide():
     x = np.zeros((400, len(abuse.NAMES)))
     told = abuse.NAMES.index("max_exclaims")
     x[::2, told] = 1.0
     y = (x[:, told] > 0).astype(float)
-    base = abuse.base_margin(x)
-    trees = abuse.Trees().fit(x, y, base)
-    p = abuse.Model({}, trees, abuse.isotonic(base + trees.margin(x), y)).score(x)
-    assert (x[:, abuse.NAMES.index("max_rule")] <= 0.5).all() and (p[y == 1] >= 0.5).all() and (p[y == 0] < 0.5).all()
+    trees = abuse.Trees().fit(x, y, np.zeros(400))
+    p = abuse.Model(abuse.Lexicon({}), trees, 0.5, abuse.isotonic(trees.margin(x), y))
+    p = p.calibrated(p.margin(x))
+    assert (p[y == 1] >= 0.5).all() and (p[y == 0] < 0.5).all()
+
+
+BAD = {
+    "insult": ["You are a stupid moron", "What an idiot you are", "Only a moron like you writes this", "You pathetic clown, you know nothing", "Shut up, you useless idiot", "You bunch of idiots"],
+    "threat": ["I will break your legs, you rat", "Someone should kill you", "I hope you die, scum", "We will beat you, idiot", "You should be shot", "I will find you and kill you"],
+    "sexual": ["Send nudes, you horny slut", "I want to fuck you", "Suck my dick, bitch", "You horny bitch, undress", "Show me your tits", "Let me fuck you hard"],
+}
+GOOD = ["The results improve recall on held-out data", "Please kill the second table, it repeats the first", 'Raters saw words such as "idiot" in the lexicon', "What a stupid bug of mine, sorry", "The study measured sexual dimorphism in moles", "You should report the variance", "We survey hate speech detection", "My code died again"]
 
 
 def test_p10_held_out(spark):
-    bad = ["You are a stupid moron and nobody wants your face here.", "Drop dead, you useless idiot.", "Send nudes, you horny little reviewer."]
-    good = ["The results improve recall on held-out data.", "Please kill the second table, it repeats the first.", 'Raters saw words such as "idiot" in the lexicon.', "What a stupid bug of mine, sorry."]
-    rows = [(i, (bad[i % 3] if i % 5 == 0 else good[i % 4]) + f" Section {i} follows.", None) for i in range(300)] + [(900, None, None), (901, " ", None), (902, good[0] * 3000, None)]
+    """Sentences of the labelled rows never occur in the others: of each kind every other sentence teaches, the rest is held out."""
+    taught = [(x, 1) for v in BAD.values() for x in v[::2]] + [(x, 0) for x in GOOD[::2]]
+    asked = [(x, 1) for v in BAD.values() for x in v[1::2]] + [(x, 0) for x in GOOD[1::2]]
+    rows = [(i, f"{taught[i % len(taught)][0]}. Section {i} follows.", None) for i in range(390)] + [(1000 + i, f"Section {i} was read. {asked[i % len(asked)][0]}.", None) for i in range(130)]
+    rows += [(900, None, None), (901, " ", None), (902, (GOOD[0] + ". ") * 3000, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0) if i % 17 else 1 - int(i % 5 == 0)) for i in range(200)] + [(5, None), (7777, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, taught[i % len(taught)][1] if i % 17 else 1 - taught[i % len(taught)][1]) for i in range(390)] + [(5, None), (7777, 1)], "doc_id long, toxic int")
     got = {r["doc_id"] for r in abuse.found(d, labels).collect()}
-    assert got == {i for i in range(300) if i % 5 == 0}
-    assert {r["doc_id"] for r in abuse.found(d, labels.limit(0)).collect()} == got
+    want = {1000 + i for i in range(130) if asked[i % len(asked)][1]}
+    held = {i for i in got if i >= 1000}
+    assert len(held & want) >= 0.8 * len(want) and len(held & want) >= 0.9 * len(held)
+    assert not got & {900, 901, 902}
+    assert abuse.scores(d, labels.limit(0)).where("score is null or score < 0 or score > 1").count() == 0
     assert abuse.scores(d.limit(0), labels).count() == 0
-    assert abuse.rates(d, labels).collect()[0]["documents"] == 303
+    assert abuse.rates(d, labels).collect()[0]["documents"] == len(rows)
