@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import stored
+
 MAD_SCALE = 1.4826
 MOST_CITED = 5_000_000
 
@@ -33,22 +35,29 @@ def scored(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
     return one.select("qid", "pid", *(c.alias(k) for k, c in cols.items())), list(cols)
 
 
+def meet(rows: DataFrame, per_qid: DataFrame, most: int = 50_000) -> DataFrame:
+    """rows with the one row of their qid. Up to `most` qids, counted, the small side is broadcast, so that no hot qid meets in one task; beyond, a shuffle join, whose skewed parts the runtime splits."""
+    return rows.join(F.broadcast(per_qid) if per_qid.count() <= most else per_qid, "qid")
+
+
 def fused(candidates: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(qid, pid, score) with score in (0, 1): robust z by median and MAD of the qid, logistic, weighted geometric mean.
 
-    Medians are exact: partial aggregates hold counts per distinct value, so a hot qid is
-    reduced before the shuffle, and all scores share one pass. An absent, null, NaN or impossible score
+    Medians are exact: partial aggregates hold counts per distinct value (whole ranks, cosines of five decimals, whole counts), so a hot qid is
+    reduced before the shuffle and its state is bounded by the values; all scores share one pass. An absent, null, NaN or impossible score
     counts as the worst that the qid has for this score, and as 0.5 where no row of the qid has it. A
     MAD of 0 falls back to the mean absolute deviation, then to 1. Rows without qid or pid
     have no rank. Empty tables give an empty result.
     """
     rows, names = scored(candidates)
+    rows = stored(rows)  # read three times
     weights = weights or dict.fromkeys(names, 1.0)
     total = sum(weights.values())
     mid = rows.groupBy("qid").agg(*(F.median(n).alias(f"{n}_m") for n in names), *(F.min(n).alias(f"{n}_lo") for n in names))
-    off = rows.join(mid, "qid").withColumns({f"{n}_d": F.abs(F.col(n) - F.col(f"{n}_m")) for n in names})
+    mid = stored(mid)
+    off = meet(rows, mid).withColumns({f"{n}_d": F.abs(F.col(n) - F.col(f"{n}_m")) for n in names})
     spread = off.groupBy("qid").agg(*(F.median(f"{n}_d").alias(f"{n}_mad") for n in names), *(F.avg(f"{n}_d").alias(f"{n}_mean") for n in names))
-    x = rows.join(mid.join(spread, "qid"), "qid")
+    x = meet(rows, stored(mid.join(spread, "qid")))
 
     def bounded(n: str) -> Column:
         scale = F.coalesce(F.when(F.col(f"{n}_mad") > 0, MAD_SCALE * F.col(f"{n}_mad")), F.when(F.col(f"{n}_mean") > 0, F.col(f"{n}_mean")), F.lit(1.0))
