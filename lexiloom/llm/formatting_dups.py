@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..runtime import heavy_keys, skew_join
+from ..runtime import heavy_keys, skew_join, stored
 from .normal import canonical_list_udf, canonical_udf
 
 SEP = "\u0001"
@@ -52,6 +52,7 @@ def groups(nodes: DataFrame) -> DataFrame:
 
 def duplicates(nodes: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
     """(keep_id, dup_id) for each further member of a group; hot groups meet a broadcast, never one task."""
+    nodes = stored(nodes)  # counts, heavy keys and both sides of the join read the normal forms
     many = groups(nodes).where("copies > 1")
     heavy = heavy_keys(many, "root", "copies", heavy_rows)
     right = many.select("root", F.col("form").alias("keep_form"), "keep_id")
