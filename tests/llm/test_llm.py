@@ -113,6 +113,9 @@ def test_p3_found_and_templates(spark):
     assert sorted((r["rec_id"], r["field"]) for r in markup.found(p).collect()) == [*((i, "abstract") for i in range(8)), (100, "title")]
     got = {r["rec_id"]: r["text"] for r in markup.cleaned(p).collect()}
     assert got[3] == "text number 3" and got[100] == "x"
+    # the constant text at another node than the template's is content
+    again = papers(spark, [*rows, (300, "T", "<p>Page furniture</p><p>Page furniture</p>", "s2", "", "")])
+    assert {r["rec_id"]: r["text"] for r in markup.cleaned(again).collect()}[300] == "Page furniture"
     assert markup.cleaned(p.limit(0)).count() == 0
 
 
