@@ -218,7 +218,13 @@ def overlaps(cases: DataFrame) -> DataFrame:
 
 
 def report(cases: DataFrame) -> DataFrame:
-    """Per evaluation split and source: its rows, those that stand in train, pairs, and the mean best overlap of these."""
-    found = overlaps(cases).groupBy(F.col("eval_id").alias("case_id")).agg(F.count("*").alias("pairs"), F.max("overlap").alias("best"))
+    """Per evaluation split and source: its rows, those that stand in train, pairs, and the mean best overlap of these.
+
+    Pairs are counted from the number of train rows of each class; copies are never paired with copies.
+    """
+    rows = cut(records(cases))
+    train = rows.where("train").groupBy(F.col("cls").alias("cls_a")).agg(F.count("*").alias("n"))
+    best = overlapping_classes(rows).join(train, "cls_a").groupBy(F.col("cls_b").alias("cls")).agg(F.sum("n").alias("pairs"), F.max("overlap").alias("best"))
+    found = rows.where("not train").select("case_id", "cls").join(best, "cls").select("case_id", "pairs", "best")
     held_out = cases.where(F.lower(F.trim("split")) != "train").select("case_id", "split", "source")
     return held_out.join(found, "case_id", "left").groupBy("split", "source").agg(F.count("*").alias("cases"), F.count("best").alias("leaked"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.avg("best").alias("mean_overlap"))
