@@ -147,6 +147,18 @@ def test_p3_found_and_templates(spark):
     assert markup.cleaned(p.limit(0)).count() == 0
 
 
+def test_p3_found_decides_by_aligned_trees(spark):
+    texts = ["plain", "x < y", "a &amp; b", "<b>x</b>", "\\begin{#root}x", "\\begin{#text}x\\end{#text}", "{{a}}", "<ul><li>a</li></ul> b", "* one\n* two"]
+    rows = [(i, x, " ".join([x] * (i % 3 + 1)), "s2", "", "") for i, x in enumerate(texts * 3)]
+    p = papers(spark, rows)
+    t = markup.trees(markup.fields(p)).select("value", "skel").distinct().collect()
+    assert {r["value"] for r in t} == {v for r in rows for v in r[1:3]} and all(r["skel"].startswith("0e:#root 1") for r in t)
+    named = markup.found(p)
+    assert "align_udf" in named._jdf.queryExecution().optimizedPlan().toString()
+    want = {(r[0], f) for r in rows for f, v in (("title", r[1]), ("abstract", r[2])) if markup.has_markup(v)}
+    assert {(r["rec_id"], r["field"]) for r in named.collect()} == want and named.count() == len(want)
+
+
 def test_p3_every_frequent_skeleton_is_a_wrapper(spark):
     rows = [(k * 10 + i, "", f"<x{k}>Banner {k}</x{k}><y{k}>text number {i}</y{k}>", "s2", "", "") for k in range(70) for i in range(6 if k < 64 else 5)]
     got = [r["text"] for r in markup.cleaned(papers(spark, rows)).collect()]
