@@ -4,6 +4,7 @@ from datetime import datetime
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,41 @@ def test_p6_index_recall(spark):
     assert {(r["key_a"], r["key_b"]) for r in parts.collect()} == got  # salting moves work, not results
 
 
+def test_p6_refused_before_the_comparison(monkeypatch):
+    """The test of a whole batch refuses most pairs, none that the exact comparison takes, and the rows stay those of comparing every pair."""
+    rng = np.random.default_rng(8)
+    syl = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+    coin = lambda n: "".join(rng.choice(syl, n))
+    common = [coin(3) for _ in range(20)]
+    titles = [[coin(4), *rng.choice(common, 6, replace=False)] for _ in range(60)] + [["graph"], []]
+    people = [coin(3) if t else "" for t in titles]
+    listed = []
+    for i, t in enumerate(titles):
+        w, p = damaged(rng, t, people[i], DAMAGE[i % len(DAMAGE)]) if len(t) > 3 else (" ".join(t), people[i])
+        listed.append((w[: len(w) * 2 // 3] + "..." if i % 7 == 0 else w + " [preprnt]" if i % 7 == 1 else w[:3] + "." + w[len(w.split(" ")[0]) :] if i % 7 == 2 else w, p))
+    ia, ib = (x.ravel() for x in np.meshgrid(np.arange(len(titles)), np.arange(len(titles)), indexing="ij"))
+    lwords, pwords = [" ".join(matching.read_title(t)[0]) for t, _ in listed], [" ".join(t) for t in titles]
+    cut = np.array([bool(matching.CUT_OFF.search(t)) for t, _ in listed])
+    lost = matching.lost_pairs(lwords, pwords, ia, ib) & ~cut[ia]
+    whole = lambda i, j, says: matching.compare(listed[i][0], lwords[i], listed[i][1], bool(cut[i]), pwords[j], people[j], False, 2020.0, 2020.0, says)
+    same = np.array([whole(i, j, 0)[0] for i, j in zip(ia, ib, strict=True)])
+    assert same.sum() > 30 and not (lost & same).any() and lost.sum() > 0.9 * (~same & ~cut[ia]).sum()
+    ids = lambda k, x: f"10.99{x:03d}/abcd.{k}" if k % 4 == 0 else ""
+    side = lambda rows, own: pa.array([{"key": k, "cls": b"%d" % k, "title": t, "words": w, "names": n, "cut_off": c, "marked": False, "year": 2020.0, "doi": d, "ax": ""} for k, t, w, n, c, d in rows]).take(pa.array(own))
+    a = side([(i, t, lwords[i], n, bool(cut[i]), ids(i, 1)) for i, (t, n) in enumerate(listed)], ia)
+    b = side([(j, None, pwords[j], people[j], False, ids(j, 1 + j % 3)) for j in range(len(titles))], ib)
+    e = matching.Embedding(rng.normal(size=(matching.BUCKETS, matching.DIM)), np.ones(matching.BUCKETS), (1, 1, 1), 9)
+    asked, exact = [], matching.compare
+    monkeypatch.setattr(matching, "compare", lambda *x: asked.append(x) or exact(*x))
+    for told in (0.0, 1.0):
+        asked.clear()
+        got = [r for x in matching.reranked(e, told)([pa.RecordBatch.from_arrays([a, b], names=["a", "b"])]) for r in x.to_pylist()]
+        assert len(asked) < len(ia) / 3
+        says = [matching.id_says(x["doi"], y["doi"]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)]
+        want = {(b"%d" % i, b"%d" % j, s, whole(i, j, s)[0]) for i, j, s in zip(ia, ib, says, strict=True) if whole(i, j, s)[0] or told and s}
+        assert {(r["cls_a"], r["cls_b"], r["says"], r["same"]) for r in got} == want and len(got) == len(want) and min(says) == -1 and max(says) == 1
+
+
 def test_p6_packed_vectors():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, matching.DIM)).astype(np.float32)
