@@ -105,6 +105,21 @@ def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     raise RuntimeError("leaders did not settle")
 
 
+def fuzzy_leaders(papers: DataFrame, least: float = 0.86) -> DataFrame:
+    """(id, leader) of every record: greedy leader clustering by title within blocks.
+
+    Records of equal titles that are alike (a title of one word is not even alike to itself) follow what the first of them follows, since
+    no leader between the two is alike to either; so the first stands for them in the pairs.
+    """
+    t = tokenize(F.col("title"), False)
+    alike = jaccard(t, t) + jaccard(ngrams(t), ngrams(t)) >= 2 * least
+    x = papers.select(F.col("rec_id").alias("id"), F.when(alike, F.unhex(F.md5("title"))).alias("same"))
+    first = x.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    x = x.join(first, "same", "left").select("id", F.coalesce("first", "id").alias("first"))
+    led = leaders(fuzzy_pairs(papers, least), x.select(F.col("first").alias("id")))
+    return x.join(led.select(F.col("id").alias("first"), "leader"), "first").select("id", "leader")
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(qid, vec_id, score, rank): exact cosine neighbours of queries(qid, embedding) among vectors(vec_id, embedding).
 

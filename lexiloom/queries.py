@@ -368,8 +368,7 @@ def fuzzy_pairs(spark, d):
 
 @query()
 def fuzzy_leaders(spark, d):
-    p = table(spark, d, "papers")
-    return entities.leaders(entities.fuzzy_pairs(p), p.select(F.col("rec_id").alias("id")))
+    return entities.fuzzy_leaders(table(spark, d, "papers"))
 
 
 @query("""with q as (select cast(vec_id as varchar) as qid, embedding as e from embeddings where vec_id % 20 = 0), s as (select qid, v.vec_id, list_cosine_similarity(cast(q.e as double[]), cast(v.embedding as double[])) as score from q, embeddings v)

@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import re
 from datetime import datetime
 
 import numpy as np
@@ -316,6 +317,30 @@ def test_fuzzy_and_leaders(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def greedy_leaders(rows, least=0.86):
+    """The reference's loop over records in id order; rows are (id, title) with plain ASCII titles."""
+    words = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in rows}
+    block = {i: next((x for x in w if len(x) > 1 and x not in text.STOP), "_") for i, w in words.items()}
+    jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    sim = lambda a, b: 0.5 * jac(set(a), set(b)) + 0.5 * jac(set(zip(a, a[1:])), set(zip(b, b[1:])))
+    leader = {}
+    for i in sorted(words):
+        if i not in leader:
+            leader[i] = i
+            leader |= {j: i for j in words if j > i and j not in leader and block[i] == block[j] and sim(words[i], words[j]) >= least}
+    return leader
+
+
+def test_leaders_follow_equal_titles(spark, monkeypatch):
+    long = "dense retrieval for open question answering systems in the wild"
+    rows = [(1, long), (2, "sparse graphs"), (3, long + " today"), (4, long), (5, "sparse graphs"), (6, long + " today"), (7, "graphs"), (8, "graphs"), (9, None), (10, None), (11, ""), (12, "?!"), (13, "?!"), (14, "Sparse Graphs")]
+    p = spark.createDataFrame(rows, "rec_id long, title string")
+    monkeypatch.setattr(queries, "table", lambda spark, d, name: p)
+    got = {r["id"]: r["leader"] for r in queries.QUERIES["fuzzy_leaders"](spark, "").collect()}
+    assert got == greedy_leaders(rows)
+    assert got[4] == got[3] == got[6] == 1 and got[5] == got[14] == 2 and got[8] == 8 and got[10] == 10 and got[13] == 13
+
+
 def test_dense(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8))
