@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import operator
+from itertools import combinations, pairwise
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,30 +54,73 @@ def blocked(papers: DataFrame) -> DataFrame:
     return papers.withColumn("block", F.coalesce(F.get(tokenize(F.col("title")), F.lit(0)), F.lit("_")))
 
 
+def _least_common(a: int, g: int, least: float) -> int | None:
+    """How many words a title of a words and g word pairs, all distinct, must share with any title alike to it; None if none can be alike.
+
+    Each word that the other title lacks takes a word pair of its own along, so with o common words
+    J1 <= o / a and J2 <= (g - a + o) / g.
+    """
+    return next((o for o in range(1, a + 1) if 0.5 * o / a + (0.5 * max(0, g - a + o) / g if g else 0.0) >= least - 1e-9), None)
+
+
+def _subset(common: int) -> int:
+    """How many words a key has for pairs that must share `common` words: more select better, fewer keep the keys of a long title few."""
+    return min(4, common) if common <= 30 else 2 if common <= 120 else 1
+
+
+def _title_keys(words: list[str], a: int, common: int) -> list[tuple[str, ...]]:
+    """Keys of a title's `a` words, rarest first, of which a pair must share `common` or more: two titles that share as many as both need have a key in common.
+
+    With T common words at least, each side's a - T + k first words hold k of them. T is the larger need of the two, so a title has keys for every size that T may call for.
+    """
+    need: dict[int, int] = {}
+    for t in range(common, a + 1):
+        need.setdefault(_subset(t), t)
+    return [c for k, t in need.items() for c in combinations(words[: a - t + k], k)]
+
+
 def fuzzy_pairs(papers: DataFrame, least: float = 0.86) -> DataFrame:
     """(a, b, sim): pairs of one block, a < b, whose titles are alike.
 
-    Equal titles are folded first and meet once; the other pairs of a block share one of their
-    rare words: by prefix filtering on the words' document frequencies, alike titles must
-    share a word among their rarest ones, so a frequent block is not paired with itself. Titles without any word
-    are alike to none. Token arrays are made once per title and travel with it.
+    Equal titles are folded first and meet once; the other pairs of a block share a key of up to four
+    of their rarest words (prefix filter for several common words, which loses no pair). A key row carries
+    64 bits of the title's words, whose differences drop most of the rest within the join; titles are joined to what stays and compared exactly.
+    Frequent words are put behind others; which ones only decides how many rows meet. Titles without any word are alike to none.
     """
-    from pyspark.sql import Window
-
-    t = tokenize(F.col("title"), False)
-    one = blocked(papers).groupBy("block", "title").agg(F.min("rec_id").alias("id")).select("block", "id", F.array_distinct(t).alias("w"), F.array_distinct(ngrams(t)).alias("g")).where(F.size("w") > 0)
-    words = one.select("id", "block", F.size("w").alias("n"), F.explode("w").alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    # .5 J1 + .5 J2 >= least gives J1 >= 2 least - 1
-    share = 2 * least - 1
-    order = Window.partitionBy("id").orderBy("df", "word")
-    rare = words.join(df, "word").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(share * F.col("n")) + 1)
-    # alike titles have nearly as many words, which halves the pairs of a frequent word
-    a, b = (rare.select("block", "word", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
-    pairs = a.join(b, ["block", "word"]).where((F.col("a") < F.col("b")) & (F.col("na") >= share * F.col("nb")) & (F.col("nb") >= share * F.col("na"))).select("a", "b").distinct()
-    side = lambda k: one.select(F.col("id").alias(k), F.struct("w", "g").alias(f"t{k}"))
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
-    return x.select("a", "b", (0.5 * jaccard(F.col("ta.w"), F.col("tb.w")) + 0.5 * jaccard(F.col("ta.g"), F.col("tb.g"))).alias("sim")).where(F.col("sim") >= least)
+    named = blocked(papers).groupBy("block", "title").agg(F.min("rec_id").alias("id"))
+    one = named.select("block", "id", tokenize(F.col("title"), False).alias("t"))
+    often = one.select(F.explode(F.array_distinct("t")).alias("word")).groupBy("word").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "word").limit(20_000)
+    df = {r["word"]: r["df"] for r in often.collect()}
+
+    def keys(batches, df=df):
+        number = lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little", signed=True)
+        common = functools.cache(lambda a, g: _least_common(a, g, least))
+        bit = functools.lru_cache(100_000)(lambda w: 1 << (number(w) & 63))
+        for batch in batches:
+            rows = []
+            for block, i, t in zip(*(batch.column(c).to_pylist() for c in ("block", "id", "t")), strict=True):
+                w = list(dict.fromkeys(t))
+                n = common(len(w), len(set(pairwise(t))))
+                if n is None:
+                    continue
+                bits = functools.reduce(operator.or_, map(bit, w))
+                bits -= (bits >> 63) << 64
+                w.sort(key=lambda x: (df.get(x, 0), x))
+                rows += [(number("\0".join((block, *sorted(c)))), i, len(w), n, bits) for c in _title_keys(w, len(w), n)]
+            columns = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["key", "id", "n", "common", "bits"])
+
+    keyed_rows = one.mapInArrow(keys, "key long, id long, n int, common int, bits long")
+    a, b = (keyed_rows.select("key", *(F.col(c).alias(c + k) for c in ("id", "n", "common", "bits"))) for k in "ab")
+    unlike = F.col("na") + F.col("nb") - 2 * F.greatest("commona", "commonb")
+    pairs = a.join(b, "key").where((F.col("ida") < F.col("idb")) & (unlike >= 0) & (F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= unlike)).select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+    side = lambda k: named.select(F.col("id").alias(k), F.struct("block", "title").alias(f"t{k}"))
+    x = pairs.join(side("a"), "a").join(side("b"), "b").where("ta.block = tb.block")
+    # a lambda's argument is evaluated once, a repeated column each time
+    let = lambda value, f: F.transform(F.array(value), f)[0]
+    words = F.struct(*(tokenize(F.col(f"t{k}.title"), False).alias(k) for k in "ab"))
+    sim = let(words, lambda w: let(F.struct(*(ngrams(w[k]).alias(k) for k in "ab")), lambda g: 0.5 * jaccard(w["a"], w["b"]) + 0.5 * jaccard(g["a"], g["b"])))
+    return x.select("a", "b", sim.alias("sim")).where(F.col("sim") >= least)
 
 
 def renamed(rows: DataFrame, leaders: DataFrame, key: str = "pid") -> DataFrame:

@@ -341,6 +341,33 @@ def test_leaders_follow_equal_titles(spark, monkeypatch):
     assert got[4] == got[3] == got[6] == 1 and got[5] == got[14] == 2 and got[8] == 8 and got[10] == 10 and got[13] == 13
 
 
+def test_fuzzy_pairs_lose_none(spark):
+    rng = np.random.default_rng(1)
+    vocabulary, rows = [f"w{i}" for i in range(60)], []
+    for n in (1, 2, 3, 5, 8, 10, 16, 35, 130):
+        for _ in range(8):
+            t = list(rng.choice(vocabulary, n))
+            rows += [t, t + ["end"], t[:-1], t[: n // 2] + t[n // 2 + 1 :], t[n // 2 :] + t[: n // 2], t[:-1] + ["other"], t + t[:1]]
+    rows = list(enumerate(" ".join(["lead", *t]) for t in rows))
+    first = {t: i for i, t in reversed(rows)}
+    p = spark.createDataFrame(rows, "rec_id long, title string").repartition(3)
+    sets = sorted((i, frozenset(t.split()), frozenset(zip(t.split(), t.split()[1:]))) for t, i in first.items())
+    for least in (0.86, 0.8):
+        want = {(i, j) for n, (i, w, g) in enumerate(sets) for j, v, h in sets[n + 1 :] if (len(w & v) / len(w | v) + (len(g & h) / len(g | h) if g and h else 0)) / 2 >= least}
+        assert {(r["a"], r["b"]) for r in entities.fuzzy_pairs(p, least).collect()} == want and len(want) > 50
+
+
+def test_fuzzy_pairs_meet_on_several_words():
+    # the same block and phrase with other names and methods: none are alike, few may meet
+    titles = [["measuring", "crop", "yield", "forecasting", "with", f"name{i}", "and", f"a{i % 40}", f"b{i // 40}", "models"] for i in range(1600)]
+    df = {f"a{i}": 40 for i in range(40)} | {f"b{i}": 40 for i in range(40)} | dict.fromkeys(("measuring", "crop", "yield", "forecasting", "with", "and", "models"), 1600)
+    met = {}
+    for t in titles:
+        for k in entities._title_keys(sorted(t, key=lambda w: (df.get(w, 0), w)), 10, entities._least_common(10, 9, 0.86)):
+            met[tuple(sorted(k))] = met.get(tuple(sorted(k)), 0) + 1
+    assert sum(n * (n - 1) // 2 for n in met.values()) == 0
+
+
 def test_dense(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8))
