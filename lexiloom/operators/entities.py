@@ -133,24 +133,42 @@ def renamed(rows: DataFrame, leaders: DataFrame, key: str = "pid") -> DataFrame:
 def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, leader): greedy leader clustering in id order: a node follows its least alike node that is itself a leader.
 
-    pairs(a, b) with a < b, nodes(id). Resolved in rounds: a node is decided once all its
-    smaller neighbours are; each round decides at least the least open node of every component.
+    pairs(a, b) with a < b, nodes(id).
     """
-    from ..runtime import cut
+    return nodes.select("id").distinct().join(_led(pairs), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
-    state = cut(nodes.select("id").distinct().withColumn("leader", F.lit(None).cast("long")))
-    near = cut(pairs.select(F.col("b").alias("id"), F.col("a").alias("other")).distinct())
+
+def _led(pairs: DataFrame, few: int = 100_000) -> DataFrame:
+    """(id, leader) of the nodes that pairs(a, b) has.
+
+    Resolved in rounds: a node is decided once all its smaller neighbours are, or those below its least leader; each round
+    decides at least the least open node of every component. Only the pairs of open nodes, with the leader of the smaller one, are stored for
+    the next round; the last `few` are resolved in one pass on the driver, in id order.
+    """
+    from ..runtime import stored
+
+    near = pairs.select(F.col("b").alias("id"), F.col("a").alias("other")).distinct()
+    near = stored(near)
+    led = near.select(F.col("other").alias("id")).distinct().join(near.select("id"), "id", "left_anti").select("id", F.col("id").alias("leader"))
+    parts = [led := stored(led)]
     for _ in range(1000):
-        looked = near.join(state.select(F.col("id").alias("other"), F.col("leader").alias("ol")), "other", "left")
-        seen = looked.groupBy("id").agg(
-            F.min(F.when(F.col("ol") == F.col("other"), F.col("other"))).alias("head"),
-            F.min(F.when(F.col("ol").isNull(), F.col("other"))).alias("open"),
-        )
-        nxt = state.join(seen, "id", "left")
-        decided = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("open").isNull() | (F.col("head") < F.col("open")), F.coalesce("head", F.col("id")))
-        state = cut(nxt.select("id", decided.alias("leader")))
-        if state.where("leader is null").limit(1).count() == 0:
-            return state
+        known = led.select(F.col("id").alias("other"), F.col("leader").alias("found"))
+        old = F.col("ol") if "ol" in near.columns else F.lit(None).cast("long")
+        near = stored(near.join(led.select("id"), "id", "left_anti").join(known, "other", "left").select("id", "other", F.coalesce(old, "found").alias("ol")))
+        if near.count() <= few:
+            rows: dict[int, list] = {}
+            for i, o, ol in near.collect():
+                rows.setdefault(i, []).append((o, ol))
+            last: dict[int, int] = {}
+            for i in sorted(rows):
+                last[i] = min((o for o, ol in rows[i] if (last[o] if ol is None else ol) == o), default=i)
+            rest = near.sparkSession.createDataFrame(list(last.items()), "id long, leader long")
+            return functools.reduce(DataFrame.unionByName, [*parts, rest])
+        seen = near.groupBy("id").agg(F.min(F.when(F.col("ol") == F.col("other"), F.col("other"))).alias("head"), F.min(F.when(F.col("ol").isNull(), F.col("other"))).alias("open"))
+        led = stored(seen.where(F.col("open").isNull() | (F.col("head") < F.col("open"))).select("id", F.coalesce("head", "id").alias("leader")))
+        parts.append(led)
+        if len(parts) == 16:
+            parts = [stored(functools.reduce(DataFrame.unionByName, parts))]
     raise RuntimeError("leaders did not settle")
 
 
@@ -160,13 +178,13 @@ def fuzzy_leaders(papers: DataFrame, least: float = 0.86) -> DataFrame:
     Records of equal titles that are alike (a title of one word is not even alike to itself) follow what the first of them follows, since
     no leader between the two is alike to either; so the first stands for them in the pairs.
     """
-    t = tokenize(F.col("title"), False)
-    alike = jaccard(t, t) + jaccard(ngrams(t), ngrams(t)) >= 2 * least
+    # the likeness of a title to itself is 1 with two words or more, .5 with one, 0 without
+    alike = F.least(F.size(tokenize(F.col("title"), False)) / 2, F.lit(1.0)) >= least
     x = papers.select(F.col("rec_id").alias("id"), F.when(alike, F.unhex(F.md5("title"))).alias("same"))
     first = x.where("same is not null").groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
     x = x.join(first, "same", "left").select("id", F.coalesce("first", "id").alias("first"))
-    led = leaders(fuzzy_pairs(papers, least), x.select(F.col("first").alias("id")))
-    return x.join(led.select(F.col("id").alias("first"), "leader"), "first").select("id", "leader")
+    led = _led(fuzzy_pairs(papers, least)).withColumnRenamed("id", "first")
+    return x.join(led, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
 
 
 def dense_top(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

@@ -368,6 +368,17 @@ def test_fuzzy_pairs_meet_on_several_words():
     assert sum(n * (n - 1) // 2 for n in met.values()) == 0
 
 
+@pytest.mark.parametrize("few", [0, 5, 1000])
+def test_leaders_rounds(spark, few):
+    rng = np.random.default_rng(few)
+    pairs = sorted({tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(60)})
+    want = {}
+    for i in range(40):
+        want[i] = min((a for a, b in pairs if b == i and want[a] == a), default=i)
+    got = {r["id"]: r["leader"] for r in entities._led(spark.createDataFrame(pairs, "a long, b long"), few).collect()}
+    assert got == {i: want[i] for p in pairs for i in p}
+
+
 def test_dense(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 8))
