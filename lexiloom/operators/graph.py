@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, stored
+from . import graph_local
 
 
 def edges(papers: DataFrame) -> DataFrame:
@@ -54,6 +55,12 @@ def coupling(e: DataFrame, seeds: DataFrame, pool: DataFrame | None = None) -> D
     return _scaled(x.groupBy("qid", "pid").agg(F.max(F.col("n") / (F.col("ds") + F.col("dp") - F.col("n"))).alias("score")))
 
 
+def start_weights(seeds: DataFrame) -> DataFrame:
+    """(qid, pid, s): what a seed starts with, before it is divided by the question's total."""
+    weight = F.greatest(F.col("score").cast("double"), F.lit(0.0)) if "score" in seeds.columns else F.lit(1.0)
+    return seeds.select("qid", "pid", weight.alias("s")).groupBy("qid", "pid").agg(F.max("s").alias("s"))
+
+
 def pagerank(e: DataFrame, seeds: DataFrame, alpha: float = 0.72, rounds: int = 24, each: int = 3) -> DataFrame:
     """(qid, pid, score): personalised PageRank along out-edges, all qids at once; mass without out-edge goes back to the seeds.
 
@@ -61,8 +68,7 @@ def pagerank(e: DataFrame, seeds: DataFrame, alpha: float = 0.72, rounds: int =
     A fixed number of rounds; after every `each` of them the state, which the next round reads twice (through one reused exchange),
     is cut in the shared folder. Scores of a round travel as (qid, pid) rows, so the state is only the nodes reached.
     """
-    weight = F.greatest(F.col("score").cast("double"), F.lit(0.0)) if "score" in seeds.columns else F.lit(1.0)
-    start = seeds.select("qid", "pid", weight.alias("s")).groupBy("qid", "pid").agg(F.max("s").alias("s"))
+    start = start_weights(seeds)
     total = F.sum("s").over(Window.partitionBy("qid"))
     out = cut(e.join(e.groupBy("src").agg(F.count("*").alias("d")), "src"))
     nodes = e.select(F.col("src").alias("pid")).unionAll(e.select(F.col("dst").alias("pid"))).distinct()
@@ -89,7 +95,20 @@ def both_ways(e: DataFrame, seeds: DataFrame, pool: DataFrame | None = None, **o
 
 
 def graph_prior(e: DataFrame, seeds: DataFrame, pool: DataFrame | None = None, **options) -> DataFrame:
-    """.5 PageRank + .32 co-citation + .18 coupling, scaled per qid; of the pairs of pool(qid, pid) if given."""
+    """.5 PageRank + .32 co-citation + .18 coupling, scaled per qid; of the pairs of pool(qid, pid) if given.
+
+    Edges are stored once. A graph of at most graph_local.MOST_EDGES goes to the workers whole, where each question is computed
+    without a shuffle; a larger one takes the joins, with the same result.
+    """
+    e = stored(e)
+    g = graph_local.gathered(e)
+    if g is None:
+        return joined_prior(e, seeds, pool, **options)
+    return graph_local.graph_prior(g, start_weights(seeds), pool, **options)
+
+
+def joined_prior(e: DataFrame, seeds: DataFrame, pool: DataFrame | None = None, **options) -> DataFrame:
+    """graph_prior by joins over edges of any number."""
     plain = seeds.select("qid", "pid")
     parts = [(both_ways(e, seeds, pool, **options), 0.5), (cocitation(e, plain, pool), 0.32), (coupling(e, plain, pool), 0.18)]
     rows = None

@@ -284,6 +284,24 @@ def test_pagerank_24_rounds(spark, monkeypatch):
     assert seen.get("rounds", 24) == 24
 
 
+def test_graph_prior_in_workers_equals_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame(sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (150, 2)) if a != b}), "src string, dst string")
+    seeds = spark.createDataFrame([("q1", "n1", 1.0), ("q1", "n2", 0.5), ("q1", "gone", 0.5), ("q2", "n7", -1.0), ("q3", "gone", 1.0)], "qid string, pid string, score double")
+    pool = spark.createDataFrame([(q, f"n{i}") for q in ("q1", "q2", "q4") for i in range(0, 60, 2)] + [("q1", "none")], "qid string, pid string")
+    plain = seeds.drop("score")
+    as_dict = lambda df: {(r["qid"], r["pid"]): r["score"] for r in df.collect()}
+    for s, p in ((seeds, pool), (plain, None)):
+        want = as_dict(graph.joined_prior(e, s, p, rounds=4))
+        with monkeypatch.context() as m:
+            m.setattr(graph, "cut", lambda df: pytest.fail("a round by joins"))
+            got = as_dict(graph.graph_prior(e, s, p, rounds=4))
+        assert got == pytest.approx(want) and len(got) > 20
+    monkeypatch.setattr(graph.graph_local, "MOST_EDGES", 10)
+    assert as_dict(graph.graph_prior(e, seeds, pool, rounds=4)) == pytest.approx(as_dict(graph.joined_prior(e, seeds, pool, rounds=4)))
+    assert graph.graph_prior(e.limit(0), seeds).count() == 0
+
+
 PAPERS = "rec_id long, pid string, title string, abstract string, year int, citation_count int, doc_type string, reference_ids array<string>, citing_ids array<string>, venue string, fields array<string>"
 
 
