@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FULLTEXT_STOP, RERANK_STOP, tokenize, words
+from ..runtime import stored
 
 K1, B = 1.2, 0.75
 
@@ -103,7 +104,8 @@ def view_search(docs: DataFrame, queries: DataFrame, views: tuple[str, ...] = LE
     lone = F.length("phrase") == 1  # words() keeps single characters only without a stop list
     some = d.join(F.broadcast(phrases.where(~lone)), F.contains(F.col("title"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))) | F.contains(F.col("abstract"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
     times = lambda f: F.size(F.split(F.col(f), F.concat(F.lit("\\Q "), F.col("phrase"), F.lit(" \\E")), -1)) - 1
-    hits = one.select("pid", "term", "n_title", "n_abstract").unionByName(some.select("pid", "term", times("title").alias("n_title"), times("abstract").alias("n_abstract")))
+    # every view reads the hits twice
+    hits = stored(one.select("pid", "term", "n_title", "n_abstract").unionByName(some.select("pid", "term", times("title").alias("n_title"), times("abstract").alias("n_abstract"))))
     out = None
     n = F.count("*").alias("n")
     stats = d.agg(n, F.avg("dl").alias("avgdl"))

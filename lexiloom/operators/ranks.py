@@ -69,7 +69,9 @@ def text_signals(pool: DataFrame, docs: DataFrame, plans: DataFrame) -> DataFram
     held = p.join(doc_terms(docs, terms.select("term").distinct()).select("pid", "term"), "pid").join(terms, ["qid", "term"]).groupBy("qid", "pid").agg(F.count("*").alias("held"))
     shape = lambda c: F.struct(F.array_distinct(tokenize(c, False)).alias("w"), F.array_distinct(ngrams(tokenize(c, False))).alias("b"))
     spans = asked.select("qid", F.greatest(F.size("q"), F.lit(1)).alias("n")).join(plans.select("qid", F.transform("spans", shape).alias("spans")), "qid")
-    x = p.join(docs.select("pid", shape(F.col("title")).alias("t")), "pid").join(spans, "qid").join(held, ["qid", "pid"], "left")
+    # tokens as a column of their own are made once, within the expressions of word pairs once a pair
+    titles = docs.select("pid", tokenize(F.col("title"), False).alias("w")).select("pid", F.struct(F.array_distinct("w").alias("w"), F.array_distinct(ngrams(F.col("w"))).alias("b")).alias("t"))
+    x = p.join(titles, "pid").join(spans, "qid").join(held, ["qid", "pid"], "left")
     alike = F.transform("spans", lambda s: 0.5 * jaccard(s["w"], F.col("t.w")) + 0.5 * jaccard(s["b"], F.col("t.b")))
     return x.select("qid", "pid", (F.coalesce("held", F.lit(0)) / F.col("n")).alias("cover"), F.coalesce(F.array_max(alike), F.lit(0.0)).alias("s_title"))
 

@@ -110,10 +110,16 @@ def eligible(pairs: DataFrame, docs: DataFrame, plans: DataFrame) -> DataFrame:
     return x.join(enough, "qid").where("ok or not enough").select("qid", "pid")
 
 
-def first_level(pool: DataFrame, h: DataFrame, docs: DataFrame, plans: DataFrame, g: DataFrame | None) -> DataFrame:
-    """(qid, pid, l1, rrf, graph, title, constraint) of pool(qid, pid); g(qid, pid, score) is the graph prior, which only candidates above FLOOR get."""
+def pair_signals(pool: DataFrame, docs: DataFrame, plans: DataFrame) -> DataFrame:
+    """(qid, pid, cover, s_title, s_constraint) of pool(qid, pid): what depends on question and document alone."""
+    met = constraints.match(pool, docs, plans).select("qid", "pid", F.col("score").alias("s_constraint"))
+    return ranks.text_signals(pool, docs, plans).join(met, ["qid", "pid"])
+
+
+def first_level(pool: DataFrame, h: DataFrame, signals: DataFrame, plans: DataFrame, g: DataFrame | None) -> DataFrame:
+    """(qid, pid, l1, rrf, graph, title, constraint) of pool(qid, pid) with its pair_signals; g(qid, pid, score) is the graph prior, which only candidates above FLOOR get."""
     x = pool.join(typed_rrf(h, plans).withColumnRenamed("score", "rrf"), ["qid", "pid"]).join(ranks.channel_signals(h), ["qid", "pid"])
-    x = x.join(ranks.text_signals(pool, docs, plans), ["qid", "pid"]).join(constraints.match(pool, docs, plans).select("qid", "pid", F.col("score").alias("s_constraint")), ["qid", "pid"])
+    x = x.join(signals, ["qid", "pid"])
     if g is None:
         x = x.withColumn("graph", F.lit(0.0))
     else:
@@ -142,19 +148,22 @@ def run(queries: DataFrame, papers: DataFrame, candidates: DataFrame, keep: int
         h = stored(h)
         pool = stored(eligible(h.select("qid", "pid").distinct(), docs, plans))
         h = stored(h.join(pool, ["qid", "pid"], "left_semi"))
-        g = None
+        g, signals = None, stored(pair_signals(pool, docs, plans))
         if use_graph:
-            preview = stored(first_level(pool, h, docs, plans, None))
+            preview = stored(first_level(pool, h, signals, plans, None))
             start = graph.pick_seeds(preview.where(F.col("constraint") >= FLOOR), "l1", seeds)
             start = start.unionByName(graph.pick_seeds(preview, "rrf", seeds).join(start.select("qid").distinct(), "qid", "left_anti").withColumn("score", F.lit(1.0)))
             start = stored(start)
             e = stored(graph.edges(papers))
             reached = graph.expand(docs, start, expand_limit, seeds).groupBy("qid", "pid", "channel").agg(F.min("rank").alias("rank"))
             pool = stored(eligible(h.select("qid", "pid").unionByName(reached.select("qid", "pid")).distinct(), docs, plans))
+            # the pairs that the citations brought; those known have their signals
+            fresh = stored(pool.join(signals.select("qid", "pid"), ["qid", "pid"], "left_anti"))
+            signals = signals.unionByName(stored(pair_signals(fresh, docs, plans)))
             g = stored(graph.graph_prior(e, start, pool, rounds=pagerank_rounds))
             more = reached.unionByName(graph.cocite_channel(g)).join(pool, ["qid", "pid"], "left_semi")
             h = stored(h.unionByName(more).groupBy("qid", "pid", "channel").agg(F.min("rank").alias("rank")))
-        l1 = stored(ranks.top(first_level(pool, h, docs, plans, g), keep, "l1").drop("rank"))
+        l1 = stored(ranks.top(first_level(pool, h, signals, plans, g), keep, "l1").drop("rank"))
         l2 = lexical.lexical_rerank(l1, docs, plans.select("qid", "query")).withColumnRenamed("score", "l2")
         kept = ranks.l2_blend(l1.join(l2, ["qid", "pid"]).withColumns({"s_l1": F.col("l1"), "s_l2": F.col("l2")}), l2_keep)
         scored = ranks.fuse_signals(kept.join(plans.select("qid", "kind"), "qid"), ["title", "l2", "l1", "rrf", "graph"]).withColumnRenamed("fused", "score")

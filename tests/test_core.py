@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import queries
 from lexiloom.functions import ids, text
-from lexiloom.operators import calibrate, coverage, entities, evaluate, gate, graph, lexical, orphans, ranks, views
+from lexiloom.operators import calibrate, constraints, coverage, entities, evaluate, gate, graph, lexical, orphans, ranks, views
 from lexiloom.plans import engine
 
 T1, T2, T3 = (datetime(2024, m, 1) for m in (1, 5, 9))
@@ -317,6 +317,17 @@ def test_engine_expands_citations(spark):
     assert engine.run(q.limit(0), p, c, pagerank_rounds=1).count() == 0
 
 
+def test_engine_makes_pair_signals_once(spark, monkeypatch):
+    rows = [(i, f"p{i}", f"dense retrieval paper number {i}", "dense retrieval", 2020, 5, "article", ["far"] if i == 0 else [], [], "", []) for i in range(4)]
+    p = spark.createDataFrame([*rows, (10, "far", "a paper that only citations reach", "", 2020, 5, "article", [], [], "", [])], PAPERS)
+    q = spark.createDataFrame([("q", "dense retrieval")], "qid string, query string")
+    c = spark.createDataFrame([("q", f"p{i}", {"lexical:bm25": i + 1}) for i in range(4)], "qid string, pid string, channel_ranks map<string,int>")
+    made, real = [], constraints.match
+    monkeypatch.setattr(engine.constraints, "match", lambda pool, docs, plans: made.extend(r["pid"] for r in pool.collect()) or real(pool, docs, plans))
+    assert engine.run(q, p, c, views=False).count() == 5
+    assert sorted(made) == ["far", "p0", "p1", "p2", "p3"]
+
+
 def test_entities(spark):
     rows = [(1, "10.1/A", "", "T one", None, None, "s2"), (2, " 10.1/a", "", "T one", "long text", 2020, "arxiv"), (3, "", "1.2v1", "x", "", None, "s2"), (4, None, "1.2V3", "y", "abc", 1999, None), (5, "", "", None, None, None, None)]
     p = spark.createDataFrame(rows, "rec_id long, doi string, arxiv_id string, title string, abstract string, year int, source string")
